@@ -42,8 +42,11 @@ SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Pairs that agree on fewer registers than this are no candidates in a large bucket (0.8 means 96 on average, 4.4 the deviation).
-SCREEN = 70
+#: Pairs that agree on fewer registers than this are no candidates (0.8 means 96 on average, 4.4 the deviation).
+SCREEN = 76
+#: Comparisons with a bucket's heads go on while they leave more pairs apart than this many times the texts.
+APART = 1
+STAR_ROUNDS = 2
 SMALL_BUCKET = 48
 BLOCK = 512
 CHUNK_BYTES = 4 << 20
@@ -206,8 +209,8 @@ def _still_apart(slots: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(mixed, "slot")
 
 
-def _cross_pairs(apart: DataFrame) -> DataFrame:
-    """Pairs of one bucket with different labels that pass the signature screen."""
+def _small_pairs(apart: DataFrame) -> DataFrame:
+    """Pairs of one small bucket with different labels that pass the signature screen."""
     few = apart.filter(F.col("n") <= SMALL_BUCKET).select("slot", "id", "label", "sig")
     other = few.withColumnsRenamed({"id": "b", "label": "lb", "sig": "sb"})
     # at most SMALL_BUCKET rows a slot
@@ -221,30 +224,113 @@ def _cross_pairs(apart: DataFrame) -> DataFrame:
             kept = pa.array((left == right).sum(axis=1) >= SCREEN)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
+    return met.mapInArrow(screen, "a long, b long").distinct()
+
+
+def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and its shingles as a set of (shingle, copy) hashes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, 1_000_000), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = []
+            for text in batch.column("text").to_pylist():
+                _, value, weight = shingles([(text or "").encode()])
+                copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+                bags.append(mix(np.repeat(value, weight) + copy.astype(U) * _GOLD).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bags, pa.binary())], ["id", "bag"])
+
+    return texts.mapInArrow(run, "id long, bag binary")
+
+
+def overlap_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks, by products of incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.float64)
+    row_l, row_r = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
+    all_l, all_r = np.concatenate([np.zeros(0, U), *left]), np.concatenate([np.zeros(0, U), *right])
+    both = np.intersect1d(all_l, all_r)
+    in_l, in_r = np.isin(all_l, both), np.isin(all_r, both)
+    col_l, col_r = np.searchsorted(both, all_l[in_l]), np.searchsorted(both, all_r[in_r])
+    row_l, row_r = row_l[in_l], row_r[in_r]
+    for at in range(0, len(both), columns):
+        a, b = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+        some = (col_l >= at) & (col_l < at + columns)
+        a[row_l[some], col_l[some] - at] = 1
+        some = (col_r >= at) & (col_r < at + columns)
+        b[row_r[some], col_r[some] - at] = 1
+        out += a @ b.T
+    return out
+
+
+def _block_links(apart: DataFrame, docs: DataFrame) -> DataFrame:
+    """Similar pairs that join the labels of each large bucket, compared block by block.
+
+    All pairs of two blocks are compared exactly; of the similar ones only those
+    are returned that join what is not yet joined, at most a row for each member.
+    """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    many = apart.filter(F.col("n") > SMALL_BUCKET).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("slot", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "label", "sig")
+    many = apart.filter(F.col("n") > SMALL_BUCKET).select("slot", "id", "label", "n")
+    bags = cut(_bags(docs, cut(many.select("id").distinct(), "near-ids")), "near-bags")
+    many = many.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("slot", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "label").join(bags, "id")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("id").sort_values("id")
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        left, right = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        sigs = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(-1, REGISTERS)
-        ids, labels = right["id"].to_numpy(), right["label"].to_numpy()
+        sides = [pdf[pdf["own"] == i], pdf[pdf["own"] == j]]
+        if sides[0]["label"].nunique() == 1 and sides[1]["label"].nunique() == 1 and sides[0]["label"].iloc[0] == sides[1]["label"].iloc[0]:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        left, right = ([np.frombuffer(x, U) for x in side["bag"]] for side in sides)
+        both = overlap_counts(left, right) if left and right else np.zeros((len(left), len(right)))
+        total = np.array(list(map(len, left)))[:, None] + np.array(list(map(len, right)))[None, :]
+        l_id, r_id = sides[0]["id"].to_numpy(), sides[1]["id"].to_numpy()
+        l_label, r_label = sides[0]["label"].to_numpy(), sides[1]["label"].to_numpy()
+        hit = (both > 0) & (THRESHOLD[1] * both >= THRESHOLD[0] * (total - both)) & (l_label[:, None] != r_label[None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         out = []
-        for x in left.itertuples():
-            agree = (sigs == np.frombuffer(x.sig, np.uint8)).sum(axis=1) >= SCREEN
-            hit = ids[agree & (labels != x.label) & (ids > x.id if i == j else True)]
-            out += [(min(x.id, y), max(x.id, y)) for y in hit.tolist()]
+        for x, y in np.argwhere(hit).tolist():
+            p, q = find(int(l_label[x])), find(int(r_label[y]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(l_id[x], r_id[y]), max(l_id[x], r_id[y])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return met.mapInArrow(screen, "a long, b long").union(many.groupBy("slot", "i", "j").applyInPandas(within, "a long, b long")).distinct()
+    return many.groupBy("slot", "i", "j").applyInPandas(within, "a long, b long").distinct()
 
 
-def _star_pairs(slots: DataFrame) -> DataFrame:
-    """Every member of a bucket with the bucket's least id."""
-    heads = slots.groupBy("slot").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a <> z").select("slot", "a")
-    return slots.select("slot", F.col("id").alias("b")).join(heads, "slot").filter("a <> b").select("a", "b").distinct()
+def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Every member of a bucket with one head, another each turn, unless they share a label.
+
+    ``members`` has slot, id, label and n (the bucket's size).  Turn 0 takes the
+    least ids.  Later turns take the member that shares most places in buckets
+    with others: among altered copies that is the text they were made from.
+    """
+    if turn == 0:
+        order = -F.col("id")
+    else:
+        shared = members.groupBy("id").agg(F.sum("n").alias("shared"))
+        members = members.join(shared, "id")
+        order = F.struct(F.col("shared"), F.xxhash64("id", F.lit(turn))) if turn == 1 else F.struct(F.xxhash64("id", F.lit(turn)), F.col("shared"))
+    # one row for each bucket
+    heads = members.groupBy("slot").agg(F.max_by(F.struct("id", "label"), order).alias("h"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1")
+    heads = heads.select("slot", F.col("h.id").alias("a"), F.col("h.label").alias("la"))
+    met = members.join(heads, "slot").filter(F.col("label") != F.col("la"))
+    return met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def _pairs_apart(members: DataFrame) -> int:
+    """How many pairs of one bucket have different labels."""
+    by_label = members.groupBy("slot", "label").agg(F.count(F.lit(1)).alias("n"))
+    by_slot = by_label.groupBy("slot").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return by_slot.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -252,11 +338,23 @@ def classes(docs: DataFrame) -> DataFrame:
     sketched = cut(sketch(docs), "near-sketch")
     texts = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-texts")
     slots = texts.select("id", F.explode("bands").alias("slot"), "sig")
-    edges = cut(verified(cut(_star_pairs(slots.select("slot", "id")), "near-pairs"), docs), "near-edges")
-    labels = components(edges)
-    pairs = cut(_cross_pairs(cut(_still_apart(slots, labels), "near-apart")).join(edges, ["a", "b"], "left_anti"), "near-cross")
-    if not pairs.isEmpty():
-        labels = components(cut(edges.union(verified(pairs, docs)), "near-edges"))
+    n_texts = texts.count()
+    apart = slots.withColumn("label", F.col("id"))
+    tried, edges, labels = None, None, None
+    for turn in range(STAR_ROUNDS):
+        pairs = _star_pairs(apart, turn)
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        found = cut(verified(pairs, docs), "near-edges")
+        edges = found if edges is None else edges.union(found)
+        labels = components(edges)
+        apart = cut(_still_apart(slots, labels), "near-apart")
+        if _pairs_apart(apart) <= APART * n_texts:
+            break
+    pairs = cut(_small_pairs(apart).join(tried, ["a", "b"], "left_anti"), "near-cross")
+    rest = cut(_block_links(apart, docs).union(verified(pairs, docs)), "near-edges")
+    if not rest.isEmpty():
+        labels = components(edges.union(rest))
     named = sketched.select("doc_id", "key").join(texts.select("key", "id"), "key").join(labels, "id", "left")
     # rows of one doc_id with several texts are one document
     known = named.select("doc_id", F.coalesce("label", "id").alias("class_id"))

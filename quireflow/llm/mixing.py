@@ -198,7 +198,7 @@ def _case(name: str, weights: dict[str, int]) -> str:
 def oracle_ctes(docs: str) -> str:
     """CTEs that end in ``m_rows``: the columns of ``docs`` and domain, tokens, epoch, take."""
     out = [
-        f"m_docs AS (SELECT *, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 4))::INT % {DOMAINS}) AS domain, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM {docs})",
+        f"m_docs AS (SELECT doc_id, lang, source, 'd' || (('0x' || substr(md5(coalesce(source, '')), 1, 4))::INT % {DOMAINS}) AS domain, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS n_tokens FROM {docs})",
         f"m_cap AS (SELECT domain, lang, source, sum(n_tokens)::HUGEINT AS tokens, sum(n_tokens)::HUGEINT * {MAX_EPOCHS} AS cap FROM m_docs GROUP BY ALL)",
         f"m_up0 AS (SELECT (sum(tokens) * {BUDGET_PERCENT} / 100)::DOUBLE AS b FROM m_cap)",
         f"m_n1 AS (SELECT domain, sum(cap)::HUGEINT AS cap, {_case('domain', Weights().domain)} AS w, (SELECT floor(b)::HUGEINT FROM m_up0) AS budget FROM m_cap GROUP BY domain)",

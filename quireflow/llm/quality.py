@@ -118,7 +118,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEAST, _MOST = PRIOR_WEIGHT
 #: Counts and base verdict of the rows of {docs}, then the host verdict.
 ORACLE_TEMPLATE = rf"""
-q_rows AS (SELECT row_number() OVER () AS rid, * FROM {{docs}}),
+q_rows AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM {{docs}}),
 q_words AS (SELECT rid, list_filter(string_split_regex(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(text, '') AS t FROM q_rows),
 q_tri AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM q_words, unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),

@@ -44,6 +44,8 @@ PIVOTS = 32
 SHARD_ROWS = 4096
 PAGE = 64
 FANOUT = 16
+#: Pages that a long search opens at a time.
+BATCH = 16
 #: Relative slack of float bounds.
 SLACK = 1e-9
 
@@ -130,50 +132,75 @@ def build_pages(ids: np.ndarray, v: np.ndarray, page: int = PAGE, fanout: int =
 
     if len(ids):
         load(np.arange(len(ids)), v[0])
-    return [p | {"base": v[0]} for p in pages]
+    return prepare([p | {"base": v[0]} for p in pages])
+
+
+def prepare(pages: list[dict]) -> list[dict]:
+    """Adds the arrays that a search reads: all entries of all pages end to end, held by page 0."""
+    if pages:
+        keep = {name: np.concatenate([p[name] for p in pages]) for name in ("v", "r")}
+        at = np.concatenate([[0], np.cumsum([len(p["d"]) for p in pages])])
+        label = np.concatenate([p["ids"] if p["leaf"] else p["child"] for p in pages])  # a vector's id, or a child page
+        leaf = np.repeat([p["leaf"] for p in pages], np.diff(at))
+        reach = np.concatenate([p["d"] + p["r"] for p in pages])
+        pages[0]["all"] = keep | {"f": keep["v"].astype(np.float64), "top": float(np.abs(keep["v"]).max(initial=0)), "at": at, "label": label, "leaf": leaf, "reach": reach}
+    return pages
 
 
 def search(pages: list[dict], query_id: int, q: np.ndarray, k: int, least: float = -math.inf, counts: dict | None = None) -> list[tuple[int, int]]:
     """The k best (score, vec_id) among the pages' vectors, best first.
 
-    ``least``: scores below it are of no use.  ``counts`` gets the number of
-    vectors and routing objects compared.
+    The pages with the best bounds are opened one, two, four, ... up to ``BATCH``
+    at a time, so that a long search works on long arrays and a short one opens
+    few pages in vain.  ``least``: scores below it are of no use.  ``counts`` gets
+    the number of vectors and routing objects compared.
     """
     if not pages:
         return []
-    length = math.sqrt(float((q.astype(np.float64) ** 2).sum()))
+    held = pages[0]["all"]
+    f, top = q.astype(np.float64), float(np.abs(q).max(initial=0))
+    exact_floats = top * held["top"] * max(len(q), 1) < 2**53
+    length = math.sqrt(float(f @ f))
     best: list[tuple[int, int]] = []  # a heap of (score, -vec_id): the worst on top
     kth = least
 
     base = pages[0]["base"]  # the root's routing object
     queue = [(-math.inf, 0, float(_dot(q[None, :], base[None, :])[0, 0]))]
+    turn = 1
     while queue:
-        bound, number, parent = heapq.heappop(queue)
-        if -bound < kth:
+        opened = []
+        while queue and len(opened) < turn and -queue[0][0] >= kth:
+            opened.append(heapq.heappop(queue))
+        if not opened:
             break
-        node = pages[number]
-        limit = parent + length * (node["d"] + node["r"])
-        limit += SLACK * (abs(parent) + length * (node["d"] + node["r"]) + 1)
-        open_ = np.flatnonzero(limit >= kth)
-        if not len(open_):
+        turn = min(2 * turn, BATCH)
+        number = np.array([n for _, n, _ in opened])
+        first, size = held["at"][number], held["at"][number + 1] - held["at"][number]
+        rows = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        parent = np.repeat([s for _, _, s in opened], size)
+        reach = length * held["reach"][rows]
+        rows = rows[parent + reach + SLACK * (np.abs(parent) + reach + 1) >= kth]
+        if not len(rows):
             continue
-        scores = _dot(q[None, :], node["v"][open_])[0]
+        scores = np.rint(held["f"][rows] @ f).astype(np.int64) if exact_floats else held["v"][rows] @ q
         if counts is not None:
-            counts["compared"] = counts.get("compared", 0) + len(open_)
-        if node["leaf"]:
-            for s, i in zip(scores.tolist(), node["ids"][open_].tolist(), strict=True):
-                if i == query_id:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (s, -i))
-                elif (s, -i) > best[0]:
-                    heapq.heapreplace(best, (s, -i))
-            if len(best) == k:
-                kth = max(kth, best[0][0])
-        else:
-            above = scores + length * node["r"][open_]
-            above = above + SLACK * (np.abs(scores) + length * node["r"][open_] + 1)
-            for u, c, s in zip(above.tolist(), node["child"][open_].tolist(), scores.tolist(), strict=True):
+            counts["compared"] = counts.get("compared", 0) + len(rows)
+        leaf, label = held["leaf"][rows], held["label"][rows]
+        good = np.flatnonzero(leaf & (scores >= kth))  # equal scores may still win by their vec_id
+        for s, i in zip(scores[good].tolist(), label[good].tolist(), strict=True):
+            if i == query_id:
+                continue
+            if len(best) < k:
+                heapq.heappush(best, (s, -i))
+            elif (s, -i) > best[0]:
+                heapq.heapreplace(best, (s, -i))
+        if len(best) == k:
+            kth = max(kth, best[0][0])
+        inner = np.flatnonzero(~leaf)
+        if len(inner):
+            reach = length * held["r"][rows[inner]]
+            above = scores[inner] + reach + SLACK * (np.abs(scores[inner]) + reach + 1)
+            for u, c, s in zip(above.tolist(), label[inner].tolist(), scores[inner].tolist(), strict=True):
                 if u >= kth:
                     heapq.heappush(queue, (-u, c, float(s)))
     return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
@@ -203,7 +230,7 @@ def unpack(pdf: pd.DataFrame, dim: int) -> list[dict]:
                 "child": np.frombuffer(x.child, np.int64),
             }
         )
-    return pages
+    return prepare(pages)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:

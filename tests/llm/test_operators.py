@@ -199,12 +199,83 @@ def test_shortages_go_to_siblings_first(spark):
     assert got == {"a": 10, "b": 492, "c": 502}
 
 
-def test_pipeline_stages_keep_the_columns(spark, docs, tmp_path):
+def _pipeline_by_brute_force(rows):
+    """doc_id, n_tokens and both digests of what the five stages leave of ``rows``."""
+    import sentencepiece
+
+    words = lambda t: _WORD.findall(t or "")
+
+    def fails(t):
+        w = words(t)
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        seen = Counter(tri)
+        repeated = {i + d for i, x in enumerate(tri) if seen[x] > 1 for d in range(3)}
+        return len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+
+    hosts = {}
+    for _, t, _, source, *_ in rows:
+        n, f = hosts.get(source, (0, 0))
+        hosts[source] = n + 1, f + fails(t)
+    mean = sum(f for _, f in hosts.values()) / len(rows)
+    spread = sum((f / n - mean) ** 2 for n, f in hosts.values()) / len(hosts)
+    weight = min(max(mean * (1 - mean) / spread - 1, 1.0), 1000.0) if spread else 1000.0
+    rows = [r for r in rows if not fails(r[1]) and (hosts[r[3]][1] + mean * weight) / (hosts[r[3]][0] + weight) <= 0.5]
+
+    ids = sorted((r[0], r[1]) for r in rows if r[0] is not None)
+    label = {i: i for i, _ in ids}
+    for _ in ids:
+        for i, t in ids:
+            for j, u in ids:
+                if _similar(t, u):
+                    label[i] = label[j] = min(label[i], label[j])
+    rows = [r for r in rows if r[0] is None or label[r[0]] == r[0]]
+
+    first = {}
+    for i, t, *_ in rows:
+        w = words(t)
+        for at in range(len(w) - 49 if i is not None else 0):
+            key = tuple(w[at : at + 50])
+            first[key] = min(first.get(key, i), i)
+    cut = []
+    for i, t, lang, source, *_ in rows:
+        w = words(t)
+        gone = {at + d for at in range(len(w) - 49) if i is not None and first[tuple(w[at : at + 50])] < i for d in range(50)}
+        kept = " ".join(x for at, x in enumerate(w) if at not in gone)
+        if kept:
+            cut.append((i, kept if gone else t, lang, source))
+    lost = sum(len(words(b[1])) for b in rows) - sum(len(words(a[1])) for a in cut)
+
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(cut, columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"}))
+    texts = {i: t for i, t, *_ in cut}
+    assert len(texts) == len(cut)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    out = []
+    for doc_id, take, n in con.execute(f"SELECT doc_id, take, n_tokens FROM ({mixing.ORACLE})").fetchall():
+        t = texts[doc_id]
+        got = library.encode(" ".join(words(t)[:take]) if take < n else t, add_eos=True)
+        out.append((doc_id, len(got), sha(" ".join(map(str, got))), sha(library.decode(got))))
+    return sorted(out, key=str), lost
+
+
+def test_pipeline_against_brute_force(spark, docs, tmp_path, monkeypatch):
     import corpus_pipeline
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    df = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        df = stage(spark, df, str(tmp_path))
-        assert df.columns == docs.columns, name
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == df.count()
+    columns = []
+
+    def watched(stage):
+        def run(spark, df, sf_dir):
+            columns.append(df.columns)
+            return stage(spark, df, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(stage)) for name, stage in corpus_pipeline.STAGES])
+    got = sorted(((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    want, lost = _pipeline_by_brute_force([tuple(r) for r in docs.collect()])
+    assert columns == [docs.columns] * 5
+    assert got == want and len(got) > 5 and lost > 0

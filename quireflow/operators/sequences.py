@@ -28,14 +28,20 @@ def islands(df: DataFrame, key: str, number: str) -> DataFrame:
     return lists.select(key, F.array_join(F.transform("l", lambda x: x["t"]), ", ").alias("ranges"))
 
 
-def largest_gap(df: DataFrame, key: str, number: str, least: int) -> DataFrame:
-    """The numbers above a key's largest gap (first on ties) if that exceeds ``least``, else all."""
-    have = df.select(key, number).distinct()
-    by = Window.partitionBy(key).orderBy(number)
-    stepped = have.withColumn("gap", F.col(number) - F.lag(number).over(by))
-    over = Window.partitionBy(key)
+def largest_gap(df: DataFrame, key: str, number: str, least: int, max_start: int | None = None) -> DataFrame:
+    """The rows above a key's largest gap (first on ties) if that exceeds ``least``, else all; repeats are kept.
+
+    With ``max_start`` only keys whose least number is at most that lose rows.
+    """
+    by, over = Window.partitionBy(key).orderBy(number), Window.partitionBy(key)
+    stepped = df.withColumn("gap", F.col(number) - F.lag(number).over(by))
     cut = F.max(F.when(F.col("gap") > least, F.struct(F.col("gap"), (-F.col(number)).alias("n")))).over(over)
-    return stepped.withColumn("cut", -cut["n"]).filter(F.col("cut").isNull() | (F.col(number) >= F.col("cut"))).select(key, number)
+    stepped = stepped.withColumn("cut", -cut["n"])
+    stays = F.col("cut").isNull() | (F.col(number) >= F.col("cut"))
+    if max_start is not None:
+        stepped = stepped.withColumn("start", F.min(number).over(over))
+        stays |= F.col("start") > max_start
+    return stepped.filter(stays).select(*df.columns)
 
 
 def runs_from_one(df: DataFrame, key: str, number: str) -> DataFrame:

@@ -116,7 +116,14 @@ def increment_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("largest_gap_filter", "WITH t AS (SELECT DISTINCT l_orderkey AS page, l_partkey AS n FROM lineitem), g AS (SELECT *, n - lag(n) OVER (PARTITION BY page ORDER BY n) AS gap FROM t), b AS (SELECT page, n AS cut FROM g WHERE gap > 3 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap DESC, n) = 1) SELECT t.page, t.n FROM t LEFT JOIN b USING (page) WHERE cut IS NULL OR t.n >= cut")
 def largest_gap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return largest_gap(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("n")), "page", "n", 3)
+    return largest_gap(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("n")).distinct(), "page", "n", 3)
+
+
+@query("subassembly_filter", "WITH t AS (SELECT l_orderkey AS page, l_linenumber AS line, l_quantity::INT AS n FROM lineitem), g AS (SELECT *, n - lag(n) OVER (PARTITION BY page ORDER BY n) AS gap, min(n) OVER (PARTITION BY page) AS start FROM t), b AS (SELECT page, n AS cut FROM g WHERE gap > 3 AND start <= 3 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap DESC, n) = 1) SELECT t.page, t.line, t.n FROM t LEFT JOIN b USING (page) WHERE cut IS NULL OR t.n >= cut")
+def subassembly_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines above a page's largest gap, on pages that start at 3 or less; a page that starts higher stays whole."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("n"))
+    return largest_gap(lines, "page", "n", 3, 3)
 
 
 @query("valid_runs", "WITH t AS (SELECT conv_id, turn + 1 AS n, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) SELECT conv_id, n FROM t WHERE n = r")

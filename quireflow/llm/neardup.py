@@ -203,7 +203,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _still_apart(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """slot, id, sig, label and size of the buckets whose members have several labels."""
+    """slot, id, key, sig, label and size of the buckets whose members have several labels."""
     known = slots.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = known.groupBy("slot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).filter("l0 <> l1").select("slot", "n")
     return known.join(mixed, "slot")
@@ -227,9 +227,10 @@ def _small_pairs(apart: DataFrame) -> DataFrame:
     return met.mapInArrow(screen, "a long, b long").distinct()
 
 
-def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and its shingles as a set of (shingle, copy) hashes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, 1_000_000), "id", "left_semi")
+def _bags(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """key of each of the texts (id, key) and its shingles as a set of (shingle, copy) hashes."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(texts.select("id").distinct(), 1_000_000), "id", "left_semi")
+    keyed = keyed.withColumn("key", F.unhex(F.md5("text"))).join(small(texts, 1_000_000), ["id", "key"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +239,9 @@ def _bags(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 _, value, weight = shingles([(text or "").encode()])
                 copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
                 bags.append(mix(np.repeat(value, weight) + copy.astype(U) * _GOLD).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(bags, pa.binary())], ["id", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(bags, pa.binary())], ["key", "bag"])
 
-    return texts.mapInArrow(run, "id long, bag binary")
+    return keyed.select("key", "text").mapInArrow(run, "key binary, bag binary")
 
 
 def overlap_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
@@ -267,16 +268,18 @@ def _block_links(apart: DataFrame, docs: DataFrame) -> DataFrame:
 
     All pairs of two blocks are compared exactly; of the similar ones only those
     are returned that join what is not yet joined, at most a row for each member.
+    Members are texts, so several texts of one id are compared each.
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    many = apart.filter(F.col("n") > SMALL_BUCKET).select("slot", "id", "label", "n")
-    bags = cut(_bags(docs, cut(many.select("id").distinct(), "near-ids")), "near-bags")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    many = apart.filter(F.col("n") > SMALL_BUCKET).select("slot", "id", "key", "label", "n")
+    bags = cut(_bags(docs, cut(many.select("id", "key").distinct(), "near-ids")), "near-bags")
     many = many.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("slot", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "label").join(bags, "id")
+    many = many.select("slot", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "id", "key", "label").join(bags, "key")
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id").sort_values("id")
+        # equal rows of a table give a text's bag more than once
+        pdf = pdf.drop_duplicates("key").sort_values(["id", "key"])
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         sides = [pdf[pdf["own"] == i], pdf[pdf["own"] == j]]
         if sides[0]["label"].nunique() == 1 and sides[1]["label"].nunique() == 1 and sides[0]["label"].iloc[0] == sides[1]["label"].iloc[0]:
@@ -333,20 +336,28 @@ def _pairs_apart(members: DataFrame) -> int:
     return by_slot.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0))).first()[0]
 
 
+def _shared_ids(named: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids of all texts of one document."""
+    several = cut(named.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("doc_id", "a"), "near-several")
+    return named.join(small(several), "doc_id").filter("a < id").select("a", F.col("id").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every document."""
     sketched = cut(sketch(docs), "near-sketch")
     texts = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-texts")
-    slots = texts.select("id", F.explode("bands").alias("slot"), "sig")
+    named = cut(sketched.select("doc_id", "key").join(texts.select("key", "id"), "key").select("doc_id", "id"), "near-named")
+    slots = texts.select("id", "key", F.explode("bands").alias("slot"), "sig")
     n_texts = texts.count()
     apart = slots.withColumn("label", F.col("id"))
-    tried, edges, labels = None, None, None
+    # rows of one doc_id with several texts are one document
+    tried, edges, labels = None, cut(_shared_ids(named), "near-edges"), None
     for turn in range(STAR_ROUNDS):
         pairs = _star_pairs(apart, turn)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         found = cut(verified(pairs, docs), "near-edges")
-        edges = found if edges is None else edges.union(found)
+        edges = edges.union(found)
         labels = components(edges)
         apart = cut(_still_apart(slots, labels), "near-apart")
         if _pairs_apart(apart) <= APART * n_texts:
@@ -355,11 +366,8 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = cut(_block_links(apart, docs).union(verified(pairs, docs)), "near-edges")
     if not rest.isEmpty():
         labels = components(edges.union(rest))
-    named = sketched.select("doc_id", "key").join(texts.select("key", "id"), "key").join(labels, "id", "left")
-    # rows of one doc_id with several texts are one document
-    known = named.select("doc_id", F.coalesce("label", "id").alias("class_id"))
-    # a doc_id with several texts takes the least class of them
-    known = known.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    # all texts of a doc_id have one label
+    known = named.join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "id")).alias("class_id"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     return ids.join(known, "doc_id", "left")
 

@@ -125,7 +125,10 @@ def band_hashes(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, band hashes (none without words), one byte of each register."""
+    """doc_id, digest of the text, band hashes (none without words), one byte of each register.
+
+    A text without words is alone, so its digest is that of its doc_id (no text has the byte 0xFF).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +142,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in part], pa.int64()),
-                        pa.array([hashlib.md5(x).digest() for x in raws], pa.binary()),
+                        pa.array([hashlib.md5(x if some[i] else b"\xff%d" % r[0]).digest() for i, (r, x) in enumerate(zip(part, raws, strict=True))], pa.binary()),
                         pa.array([hashes[i] if some[i] else [] for i in range(len(raws))], pa.list_(pa.int64())),
                         pa.array([bytes_[i].tobytes() for i in range(len(raws))], pa.binary()),
                     ],

@@ -53,3 +53,11 @@ def test_block_compares_every_text_of_a_document(spark, monkeypatch):
     docs = spark.createDataFrame([(1, near[0]), (2, near[1]), (3, " ".join(base[0])), (3, " ".join(base[1]))], "doc_id long, text string")
     found = neardup.sketch(docs).withColumnRenamed("doc_id", "id").selectExpr("id", "key", "sig", "1L AS slot", "id AS label", "4L AS n")
     assert {(x.a, x.b) for x in neardup._block_links(found, docs).collect()} == {(1, 3), (2, 3)}
+
+
+def test_texts_without_words_stay_alone(spark):
+    rows = [(0, None), (1, ""), (2, " \n\t "), (3, None), (4, ""), (5, " \n\t "), (6, "one"), (7, "one"), (8, ""), (8, "one"), (9, ""), (9, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in neardup.classes(docs).collect()}
+    assert got == brute_force(rows) == {**{i: i for i in range(10)}, 7: 6, 8: 6}
+    assert sorted(x.doc_id for x in neardup.filter_documents(docs).collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 9]

@@ -14,8 +14,8 @@ Bands of the signature propose candidates, exact multiset overlap decides
 (5 * sum of minima >= 4 * sum of maxima for 0.8), and classes are the components
 of the graph of all similar pairs.  No bucket emits all its pairs: first every
 member is compared with its bucket's first member, and after the components of
-those links only members that are still apart are compared, large buckets in
-blocks that are screened by signature.
+those links only members that are still apart are compared, all of them exactly,
+large buckets in blocks.
 
 Result: one row per document with its class (the smallest doc_id of the class).
 Defined cases: equal texts are one class; a text without words is linked only to
@@ -42,8 +42,6 @@ SHINGLE = 5
 THRESHOLD = (4, 5)  # as a fraction
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Pairs that agree on fewer registers than this are no candidates (0.8 means 96 on average, 4.4 the deviation).
-SCREEN = 76
 #: Comparisons with a bucket's heads go on while they leave more pairs apart than this many times the texts.
 APART = 1
 STAR_ROUNDS = 2
@@ -125,7 +123,7 @@ def band_hashes(least: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.n
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, band hashes (none without words), one byte of each register.
+    """doc_id, digest of the text, band hashes (none without words).
 
     A text without words is alone, so its digest is that of its doc_id (no text has the byte 0xFF).
     """
@@ -138,18 +136,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                 doc, value, weight = shingles(raws)
                 least = signatures(doc, value, weight, len(raws))
                 hashes, some = band_hashes(least), np.isfinite(least[:, 0])
-                bytes_ = (mix(least.view(U)) & U(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in part], pa.int64()),
                         pa.array([hashlib.md5(x if some[i] else b"\xff%d" % r[0]).digest() for i, (r, x) in enumerate(zip(part, raws, strict=True))], pa.binary()),
                         pa.array([hashes[i] if some[i] else [] for i in range(len(raws))], pa.list_(pa.int64())),
-                        pa.array([bytes_[i].tobytes() for i in range(len(raws))], pa.binary()),
                     ],
-                    ["doc_id", "key", "bands", "sig"],
+                    ["doc_id", "key", "bands"],
                 )
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>, sig binary")
+    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
 
 
 def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
@@ -206,28 +202,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _still_apart(slots: DataFrame, labels: DataFrame) -> DataFrame:
-    """slot, id, key, sig, label and size of the buckets whose members have several labels."""
+    """slot, id, key, label and size of the buckets whose members have several labels."""
     known = slots.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     mixed = known.groupBy("slot").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).filter("l0 <> l1").select("slot", "n")
     return known.join(mixed, "slot")
 
 
 def _small_pairs(apart: DataFrame) -> DataFrame:
-    """Pairs of one small bucket with different labels that pass the signature screen."""
-    few = apart.filter(F.col("n") <= SMALL_BUCKET).select("slot", "id", "label", "sig")
-    other = few.withColumnsRenamed({"id": "b", "label": "lb", "sig": "sb"})
+    """All pairs of one small bucket with different labels."""
+    few = apart.filter(F.col("n") <= SMALL_BUCKET).select("slot", "id", "label").distinct()
+    other = few.withColumnsRenamed({"id": "b", "label": "lb"})
     # at most SMALL_BUCKET rows a slot
-    met = few.join(other, "slot").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("lb"))).select(F.col("id").alias("a"), "b", "sig", "sb")
-
-    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sig", "sb"))
-            kept = pa.array((left == right).sum(axis=1) >= SCREEN)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
-
-    return met.mapInArrow(screen, "a long, b long").distinct()
+    met = few.join(other, "slot").filter((F.col("id") < F.col("b")) & (F.col("label") != F.col("lb")))
+    return met.select(F.col("id").alias("a"), "b").distinct()
 
 
 def _bags(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -348,9 +335,9 @@ def _shared_ids(named: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every document."""
     sketched = cut(sketch(docs), "near-sketch")
-    texts = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "near-texts")
+    texts = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-texts")
     named = cut(sketched.select("doc_id", "key").join(texts.select("key", "id"), "key").select("doc_id", "id"), "near-named")
-    slots = texts.select("id", "key", F.explode("bands").alias("slot"), "sig")
+    slots = texts.select("id", "key", F.explode("bands").alias("slot"))
     n_texts = texts.count()
     apart = slots.withColumn("label", F.col("id"))
     # rows of one doc_id with several texts are one document

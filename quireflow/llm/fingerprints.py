@@ -38,8 +38,9 @@ from quireflow.llm.hashing import chunks, mix, runs, sliding_min, word_hashes
 
 WINDOW = 50
 RUN = 10
-BATCHES = 2
-MAX_RUNS = 4
+#: More batches than runs, so that runs are compacted and the last batch meets a compacted one.
+BATCHES = 4
+MAX_RUNS = 2
 CHUNK_BYTES = 2 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

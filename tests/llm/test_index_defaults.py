@@ -4,7 +4,16 @@ import numpy as np
 import pandas as pd
 from test_operators import corpus, docs  # noqa: F401
 
-from quireflow.llm import suffixes
+from quireflow.llm import fingerprints, suffixes
+
+
+def test_defaults_compact_before_the_last_batch(spark, docs, monkeypatch):  # noqa: F811
+    steps, append, compact = [], fingerprints.FingerprintIndex.append, fingerprints.FingerprintIndex.compact
+    monkeypatch.setattr(fingerprints.FingerprintIndex, "append", lambda self, prints: (steps.append("append"), append(self, prints))[1])
+    monkeypatch.setattr(fingerprints.FingerprintIndex, "compact", lambda self: (steps.append("compact"), compact(self))[1])
+    got = sorted(map(str, fingerprints.digests(docs).collect()))
+    assert "compact" in steps and steps[-1] == "append" and steps.index("compact") < len(steps) - 2
+    assert got == sorted(map(str, fingerprints.digests(docs, 1).collect()))
 
 
 def test_an_anchor_with_many_distinct_surroundings_is_hot_by_default():

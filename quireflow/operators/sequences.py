@@ -19,13 +19,14 @@ def gaps(df: DataFrame, key: str, number: str) -> DataFrame:
 
 
 def islands(df: DataFrame, key: str, number: str) -> DataFrame:
-    """A key's numbers as text, runs joined: ``1-3, 5``."""
+    """A key's numbers as text, runs joined: ``1-3, 5``; beyond 100 characters the first 97 and ``...``."""
     have = df.select(key, number).distinct()
     run = F.col(number) - F.row_number().over(Window.partitionBy(key).orderBy(number))
     parts = have.withColumn("run", run).groupBy(key, "run").agg(F.min(number).alias("a"), F.max(number).alias("z"))
     shown = F.when(F.col("a") == F.col("z"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "z"))
     lists = parts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("a", shown.alias("t")))).alias("l"))
-    return lists.select(key, F.array_join(F.transform("l", lambda x: x["t"]), ", ").alias("ranges"))
+    whole = F.array_join(F.transform("l", lambda x: x["t"]), ", ")
+    return lists.select(key, F.when(F.length(whole) > 100, F.concat(F.substring(whole, 1, 97), F.lit("..."))).otherwise(whole).alias("ranges"))
 
 
 def largest_gap(df: DataFrame, key: str, number: str, least: int, max_start: int | None = None) -> DataFrame:

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quireflow-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The cluster's shared folder; where none is set, a folder beside the warehouse's tables."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quireflow-tmp"
     return found.rstrip("/")
 
 
@@ -55,9 +55,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release() -> None:
-    """Remove every intermediate table; call once the results are stored."""
-    while _written:
+def mark() -> int:
+    """A place in the list of intermediate tables, for :func:`release`."""
+    return len(_written)
+
+
+def release(since: int = 0) -> None:
+    """Remove the intermediate tables written since a mark; call once the results are stored."""
+    while len(_written) > since:
         spark, path = _written.pop()
         with contextlib.suppress(Exception):  # the session may be gone already
             drop_path(spark, path)
@@ -66,14 +71,51 @@ def release() -> None:
 atexit.register(release)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows.
+#: What a broadcast side may take in memory.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``limit`` bytes in memory.
 
-    ``df`` must be cheap to count (a stored table) and its rows narrow.  Beyond
-    the bound the join is left to Spark: a sort-merge join, whose skewed
-    partitions adaptive execution splits.
+    ``df`` must be cheap to read (a stored table).  Beyond the bound the join is
+    left to Spark: a sort-merge join, whose skewed partitions adaptive execution
+    splits.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, limit) else df
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows take at most ``limit`` bytes: 16 for each row, 16 for each value, and what strings and arrays hold."""
+    row = F.lit(16)
+    for name, kind in df.dtypes:
+        held = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            row = row + 16 + F.coalesce(F.octet_length(held), F.lit(0))
+        elif kind.startswith("array"):
+            row = row + 16 + 8 * F.greatest(F.size(held), F.lit(0))
+        else:
+            row = row + 16
+    return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= limit
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts add up to about ``limit`` bytes, so that few rows are Python objects at once."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(size) - size) // limit
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def words_column(text: Column) -> Column:

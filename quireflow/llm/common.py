@@ -68,6 +68,15 @@ def release(since: int = 0) -> None:
             drop_path(spark, path)
 
 
+def finish(df: DataFrame, tag: str, since: int) -> DataFrame:
+    """Write ``df`` and read it again; the intermediate tables written since the mark go."""
+    out = cut(df, tag)
+    kept = _written.pop()
+    release(since)
+    _written.append(kept)
+    return out
+
+
 atexit.register(release)
 
 
@@ -99,10 +108,10 @@ def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= limit
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], columns: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts add up to about ``limit`` bytes, so that few rows are Python objects at once."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns.split())
         part = (np.cumsum(size) - size) // limit
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:], strict=False):

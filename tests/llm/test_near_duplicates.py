@@ -72,3 +72,56 @@ def test_small_buckets_lose_no_pair_before_the_exact_check(spark):
     pairs = neardup._small_pairs(apart)
     assert {(x.a, x.b) for x in pairs.collect()} == {(1, 2), (1, 3), (2, 3)}
     assert {(x.a, x.b) for x in neardup.verified(pairs, docs).collect()} == {(1, 2)}
+
+
+def altered(r, words, share):
+    return [f"x{r.randrange(10**9)}" if r.random() < share else w for w in words]
+
+
+def test_recall_of_similar_pairs(spark):
+    """All pairs at 0.8 or more, found by comparing every two texts, stand in one class."""
+    r = random.Random(11)
+    rows = []
+    for _ in range(12):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.randint(60, 400))]
+        rows += [(len(rows) + k, " ".join(altered(r, base, s))) for k, s in enumerate((0, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05))]
+        rows += [(len(rows), " ".join(base + base[: len(base) // 8]))]
+    pairs = [(i, j) for i, t in rows for j, u in rows if i < j and _similar(t, u)]
+    got = {x.doc_id: x.class_id for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i] == got[j] for i, j in pairs)
+    assert len(pairs) > 80 and found >= 0.99 * len(pairs)
+    label = {i: i for i, _ in rows}
+    for _ in range(8):  # families have eight members
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    assert all(label[got[i]] == label[i] for i in got)
+
+
+def test_rare_shingles_let_every_similar_pair_meet(spark):
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(altered(r, base, s)) for s in (0, 0.01, 0.02, 0.02, 0.03, 0.1, 0.3, 0.5) for _ in range(3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    many = rows.selectExpr("doc_id AS id", "unhex(md5(text)) AS key")
+    slots = neardup._rare_slots(many, neardup._bags(rows, many)).collect()
+    met = {(a.id, b.id) for a in slots for b in slots if a.slot == b.slot and a.id < b.id}
+    similar = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] != texts[j] and _similar(texts[i], texts[j])}
+    assert len(similar) > 10 and similar <= met and len(met) < len(texts) * (len(texts) - 1) // 2
+
+
+def test_split_processes_agree_across_weights():
+    """The points below the smaller weight are those of the larger one."""
+    import numpy as np
+
+    value = np.arange(50, dtype=np.uint64)
+    for small, large in ((3, 4), (5, 8), (700, 1000)):
+        weight = np.concatenate([np.full(50, small), np.full(50, large)])
+        least = neardup.signatures(np.repeat([0, 1], 50), np.tile(value, 2), weight, 2, 500)
+        assert (least[1] <= least[0]).all()
+        assert abs((least[0] == least[1]).mean() - small / large) < 0.08
+
+
+def test_whole_classes_on_an_empty_table_with_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2), (None, "x", 1, 2)], "doc_id long, text string, near__id int, id int")
+    assert sorted(map(str, neardup.filter_documents(frame).collect())) == sorted(map(str, frame.filter("doc_id = 1 OR doc_id IS NULL").collect()))
+    assert neardup.classes(frame.limit(0)).count() == 0 and neardup.filter_documents(frame.limit(0)).columns == frame.columns

@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,9 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.stored_at = path
+    return held
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -60,20 +62,21 @@ def mark() -> int:
     return len(_written)
 
 
-def release(since: int = 0) -> None:
-    """Remove the intermediate tables written since a mark; call once the results are stored."""
-    while len(_written) > since:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):  # the session may be gone already
-            drop_path(spark, path)
+def release(since: int = 0, keep: Sequence[DataFrame] = ()) -> None:
+    """Remove the intermediate tables written since a mark but for some; call once the results are stored."""
+    paths = [df.stored_at for df in keep]
+    found = _written[since:]
+    _written[since:] = [x for x in found if x[1] in paths]
+    for spark, path in found:
+        if path not in paths:
+            with contextlib.suppress(Exception):  # the session may be gone already
+                drop_path(spark, path)
 
 
 def finish(df: DataFrame, tag: str, since: int) -> DataFrame:
     """Write ``df`` and read it again; the intermediate tables written since the mark go."""
     out = cut(df, tag)
-    kept = _written.pop()
-    release(since)
-    _written.append(kept)
+    release(since, keep=[out])
     return out
 
 

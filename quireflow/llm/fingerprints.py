@@ -2,22 +2,30 @@
 
 Every window of 50 consecutive words has a fingerprint, the least hash of its
 10-word runs; equal windows have equal fingerprints, and neighbouring windows
-mostly share theirs, so a document holds one for about every twenty words.  The
-index keeps (fingerprint, doc_id) in immutable runs, stored as tables bucketed
-and sorted by fingerprint.  A new batch is merge-joined with every run and with
-itself; windows whose fingerprint was met are verified by the MD5 of their actual
-words against all documents that share the fingerprint, and a word goes if a
-verified window covering it also starts in a document with a smaller doc_id.
-Then the batch becomes a run, and too many runs are compacted into one.
-
-Batches must come in rising doc_id.  A frequent passage costs a row for each
-document that holds it, and those rows are combined per window before they move;
-nothing gathers a passage's documents in one place.
+mostly share theirs: a stretch of windows with one fingerprint begins about every
+twenty words.  A stretch is known by its fingerprint and the MD5 of its windows'
+hashes.  The index keeps, in immutable runs stored as tables bucketed and sorted by
+fingerprint, one row for each distinct stretch: the least document that holds it and
+its place there.  Rows of a frequent fingerprint are salted over several buckets.
+
+A new batch of documents is turned into stretches, which are merge-joined with every
+run and with each other.  A stretch that a smaller document holds is removed as a
+whole.  Where a fingerprint has several stretches, which may agree in some windows
+only, the windows of one holder of each are compared by a second hash, independent
+of the fingerprint (128 bits with it), and a window goes if the least document that
+holds it is smaller.  Then the batch's distinct stretches become a run, and too many
+runs are compacted into one.  Texts of earlier batches are read again only where a
+stretch of theirs shares a fingerprint, but not all windows, with another one.
+
+Batches must come in rising doc_id.  A passage that a third of all documents share
+is one row for its middle, and a row for each document where it runs into private
+text; nothing gathers a passage's documents in one place.
 
 Defined results: null or empty texts have no words; a null doc_id takes no part
 and keeps all words; rows that repeat a doc_id never remove each other's words;
-an empty table gives an empty result; extra columns are ignored, or passed
-through by :func:`filter_documents`.
+an empty table gives an empty result; extra columns, whatever their names, are
+ignored, or passed through by :func:`filter_documents`.  A text may be of any
+length; one is held in memory as a whole, with some 50 bytes for each of its words.
 """
 
 from __future__ import annotations
@@ -30,10 +38,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import cut, drop_path, shared_dir, shuffle_width, small, table
+from quireflow.llm.common import cut, drop_path, finish, mark, release, shared_dir, shuffle_width, sliced, small, table, unused
 from quireflow.llm.hashing import chunks, mix, runs, sliding_min, word_hashes
 
 WINDOW = 50
@@ -41,172 +49,206 @@ RUN = 10
 #: More batches than runs, so that runs are compacted and the last batch meets a compacted one.
 BATCHES = 4
 MAX_RUNS = 2
-CHUNK_BYTES = 2 << 20
+#: Rows of one fingerprint that go to one bucket of a run.
+HOT_ROWS = 2000
+CHUNK_BYTES = 1 << 20
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A stretch: its fingerprint and digest, a document that holds it, its first window there and how many it has.
+KEY = ["fp", "d0", "d1"]
+PLACE = ["doc_id", "th", "pos", "n"]
+_KINDS = "fp long, d0 long, d1 long, doc_id long, th long, pos int, n int"
 
 
-def window_fingerprints(raws: list[bytes], window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per window of each text: text number, number of its first word, fingerprint."""
-    words = word_hashes(raws)
+def windows_of(raws: list[bytes], window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per window of each text: text number, number of its first word, fingerprint, and an independent hash."""
+    words = word_hashes(raws, 2)
     n = len(words.doc) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
     least = sliding_min(mix(runs(words.hashes[0], run)), window - run + 1)
     at = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :])
     doc = words.doc[at]
-    return doc, at - words.bounds[doc], least[at].view(np.int64)
+    return doc, at - words.bounds[doc], least[at].view(np.int64), mix(runs(words.hashes[1], window, 1))[at].view(np.int64)
 
 
-def fingerprints(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """Distinct (fp, doc_id) of the documents with an id."""
+def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """KEY and PLACE of the stretches of the documents (doc_id, text, th) with an id."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            for part in chunks(((i, (t or "").encode()) for i, t in rows), lambda r: len(r[1]), CHUNK_BYTES):
-                doc, _, fp = window_fingerprints([r[1] for r in part], window, run)
+        for batch in sliced(batches, "text", CHUNK_BYTES):
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            for part in chunks(((i, h, (t or "").encode()) for i, h, t in rows), lambda r: len(r[2]), CHUNK_BYTES):
+                doc, pos, fp, hashes = windows_of([r[2] for r in part], window, run)
                 new = np.flatnonzero(np.concatenate([[True], (fp[1:] != fp[:-1]) | (doc[1:] != doc[:-1])])) if len(fp) else np.zeros(0, np.int64)
-                pairs = np.unique(np.stack([doc[new], fp[new]]), axis=1) if len(new) else np.zeros((2, 0), np.int64)
-                ids = np.array([r[0] for r in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(ids[pairs[0]])], ["fp", "doc_id"])
+                end = np.append(new[1:], len(fp))
+                raw = memoryview(np.ascontiguousarray(hashes)).cast("B")
+                digest = b"".join([hashlib.md5(raw[8 * a : 8 * b]).digest() for a, b in zip(new.tolist(), end.tolist(), strict=False)]) if len(new) else b""
+                d = np.frombuffer(digest, np.int64).reshape(-1, 2)
+                ids, th = (np.array([r[k] for r in part], np.int64)[doc[new]] for k in (0, 1))
+                columns = [fp[new], d[:, 0].copy(), d[:, 1].copy(), ids, th, pos[new].astype(np.int32), (end[: len(new)] - new).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*KEY, *PLACE])
+
+    return docs.filter("doc_id IS NOT NULL").select("doc_id", "th", "text").mapInArrow(of, _KINDS)
+
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of, "fp long, doc_id long")
+def _least(rows: DataFrame, *more: Column) -> DataFrame:
+    """One row for each distinct stretch, that of the least place."""
+    held = rows.groupBy(*KEY).agg(F.min(F.struct(*PLACE)).alias("least"), *more)
+    return held.select(*KEY, *(F.col(f"least.{c}").alias(c) for c in PLACE), *(c for c in held.columns if c not in [*KEY, "least"]))
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (fp, doc_id) in the shared folder."""
+    """Immutable sorted runs of distinct stretches in the shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.max_runs = spark, max_runs
         self.path = path or f"{shared_dir(spark)}/quireflow/index-{uuid.uuid4().hex}"
         self.buckets = shuffle_width(spark)
         self.runs: list[tuple[str, str]] = []  # table name, folder
+        self.hot: dict[str, DataFrame] = {}  # by table name: its frequent fingerprints and how many salts each has
 
-    def append(self, prints: DataFrame) -> None:
-        """Stores a batch's fingerprints as a run; compacts if there are too many."""
+    def append(self, rows: DataFrame) -> None:
+        """Stores distinct stretches (a stored table) as a run; compacts if there are too many runs."""
         name = f"quireflow_run_{uuid.uuid4().hex}"
         folder = f"{self.path}/{name}"
-        dealt = prints.repartition(self.buckets, "fp").sortWithinPartitions("fp", "doc_id")
-        dealt.write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp", "doc_id").option("path", folder).saveAsTable(name)
+        many = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_ROWS)
+        self.hot[name] = cut(many.select("fp", F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("salts")), "lsm-hot")
+        salted = rows.select(*KEY, *PLACE).join(small(self.hot[name]), "fp", "left").withColumn("salt", F.coalesce(F.pmod("d0", "salts"), F.lit(0)).cast("int")).drop("salts")
+        dealt = salted.repartition(self.buckets, "fp", "salt").sortWithinPartitions("fp", "salt")
+        dealt.write.format("parquet").bucketBy(self.buckets, "fp", "salt").sortBy("fp", "salt").option("path", folder).saveAsTable(name)
         self.runs.append((name, folder))
         if len(self.runs) > self.max_runs:
             self.compact()
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.table(name) for name, _ in self.runs]
+        return [self.spark.table(name).select(*KEY, *PLACE) for name, _ in self.runs]
 
     def compact(self) -> None:
         """Merges all runs into one; the old ones go after the new one is written."""
         old = self.runs
         if len(old) < 2:
             return
-        merged, self.runs = reduce(DataFrame.union, self.tables()).distinct(), []
+        merged, self.runs = cut(_least(reduce(DataFrame.union, self.tables())), "lsm-merged"), []
         self.append(merged)
-        for name, folder in old:
+        self._forget(old)
+
+    def met(self, prints: DataFrame) -> list[DataFrame]:
+        """Of every run, the rows whose fingerprint is among ``prints`` (fp, each once)."""
+        found = []
+        for name, _ in self.runs:
+            asked = prints.join(small(self.hot[name]), "fp", "left")
+            asked = asked.select("fp", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+            found.append(self.spark.table(name).join(asked.hint("merge"), ["fp", "salt"], "left_semi").select(*KEY, *PLACE))
+        return found
+
+    def _forget(self, runs: list[tuple[str, str]]) -> None:
+        for name, folder in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             drop_path(self.spark, folder)
-
-    def met(self, prints: DataFrame) -> DataFrame:
-        """The fingerprints of a batch that a run, or a second document of the batch, also holds."""
-        own = prints.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-        found = [own.filter("a < z").select("fp")]
-        found += [own.select("fp").join(run.hint("merge"), "fp", "left_semi") for run in self.tables()]
-        return reduce(DataFrame.union, found).distinct()
+            self.hot.pop(name, None)
 
     def drop(self) -> None:
-        for name, folder in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            drop_path(self.spark, folder)
+        self._forget(self.runs)
         self.runs = []
 
 
-def _normal(text: str) -> tuple[bytes, np.ndarray]:
-    """The words joined by single spaces, and where each begins (and the end + 1)."""
-    words = [w.encode() for w in _WORD.findall(text)]
-    return b" ".join(words), np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(np.int64)
-
-
-def _windows(docs: DataFrame, wanted: DataFrame, window: int, run: int) -> DataFrame:
-    """doc_id, th, pos and the MD5 (d0, d1) of each window whose fingerprint is wanted."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    ids = small(cut(wanted.select("doc_id").distinct(), "lsm-ids"), 1_000_000)
-    asked = docs.join(ids, "doc_id", "left_semi").join(per_doc, "doc_id").select("doc_id", "th", "text", "fps")
+def _windows(docs: DataFrame, places: DataFrame, window: int, run: int) -> DataFrame:
+    """KEY, doc_id, number in the stretch (k) and hash (wh) of each window of the stretches at ``places``."""
+    per_doc = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n", *KEY)).alias("asked"))
+    ids = small(cut(places.select("doc_id").distinct(), "lsm-ids"))
+    asked = docs.join(ids, "doc_id", "left_semi").join(per_doc, ["doc_id", "th"]).select("doc_id", "text", "asked")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, th, text, fps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "fps")), strict=True):
-                _, pos, fp = window_fingerprints([(text or "").encode()], window, run)
-                pos = pos[np.isin(fp, np.array(fps, np.int64))]
-                if not len(pos):
-                    continue
-                data, at = _normal(text or "")
-                view = memoryview(data)
-                digests = b"".join([hashlib.md5(view[a:b]).digest() for a, b in zip(at[pos].tolist(), (at[pos + window] - 1).tolist(), strict=True)])
-                d = np.frombuffer(digests, np.int64).reshape(-1, 2)
-                n = len(pos)
+        for batch in sliced(batches, "text", CHUNK_BYTES):
+            for i, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked"), strict=True):
+                _, _, _, hashes = windows_of([text.encode()], window, run)
+                pos, n, *key = (asked.values.field(c).to_numpy() for c in ("pos", "n", *KEY))
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, i, np.int64)), pa.array(np.full(n, th, np.int64)), pa.array(pos.astype(np.int32)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], ["doc_id", "th", "pos", "d0", "d1"]
+                    [*(pa.array(np.repeat(c, n)) for c in key), pa.array(np.full(len(k), i, np.int64)), pa.array(k.astype(np.int32)), pa.array(hashes[np.repeat(pos, n) + k])], [*KEY, "doc_id", "k", "wh"]
                 )
 
-    return asked.mapInArrow(of, "doc_id long, th long, pos int, d0 long, d1 long")
+    return asked.mapInArrow(of, "fp long, d0 long, d1 long, doc_id long, k int, wh long")
 
 
 def _spans(hits: DataFrame, window: int) -> DataFrame:
     """doc_id, th and the covered word ranges [start, end, start, end, ...]."""
-    lists = hits.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("pos"))
+    lists = hits.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for found in batch.column("pos").to_pylist():
-                p = np.unique(np.array(found, np.int64))
-                new = np.flatnonzero(np.concatenate([[True], np.diff(p) > window]))
-                last = np.concatenate([new[1:], [len(p)]]) - 1
-                out.append(np.stack([p[new], p[last] + window], axis=1).reshape(-1).tolist())
+            for pos, n in zip(batch.column("pos"), batch.column("n"), strict=True):
+                start = pos.values.to_numpy().astype(np.int64)
+                order = np.argsort(start, kind="stable")
+                start, end = start[order], np.maximum.accumulate((start + n.values.to_numpy() - 1 + window)[order])
+                new = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+                last = np.append(new[1:], len(start)) - 1
+                out.append(np.stack([start[new], end[last]], axis=1).reshape(-1).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "th", "spans"])
 
     return lists.mapInArrow(of, "doc_id long, th long, spans array<int>")
 
 
-def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """Spans to remove from the batch's documents; the batch becomes a run.
+def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, since: int | None = None, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """doc_id, th and spans to remove from the batch's documents; the batch becomes a run.
 
     ``known`` holds the documents indexed so far and the batch itself.  Both have
-    doc_id, text and ``th`` (a hash of the text).
+    doc_id, text and ``th`` (a hash of the text); the batch's doc_ids are above
+    ``since``, those of the index are not.
+    """
+    begun = mark()
+    found = cut(stretches(batch, window, run), "lsm-stretches")
+    own = cut(_least(found, F.max("doc_id").alias("last")), "lsm-own")
+    prints = own.select("fp").distinct()
+    met = reduce(DataFrame.unionByName, (m.withColumn("last", F.col("doc_id")) for m in index.met(prints)), own)
+    met = cut(met, "lsm-met")
+    # fingerprints of several documents; several: their stretches differ
+    shared = met.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("last").alias("z"), F.min(F.struct("d0", "d1")).alias("b"), F.max(F.struct("d0", "d1")).alias("y"))
+    shared = cut(shared.filter("a < z").select("fp", (F.col("b") != F.col("y")).alias("several")), "lsm-shared")
+    every = cut(_least(met.join(small(shared), "fp"), F.first("several").alias("several")), "lsm-every")
+    first = every.select(*KEY, F.col("doc_id").alias("first"))
+    whole = found.join(small(first), KEY).filter("doc_id > first").select("doc_id", "th", "pos", "n")
+    # windows of stretches that may agree in part
+    windows = cut(_windows(known, every.filter("several"), window, run), "lsm-windows")
+    least = cut(windows.groupBy("fp", "wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("fp", "wh", "first"), "lsm-least")
+    fresh = windows if since is None else windows.filter(F.col("doc_id") > since)
+    partly = cut(fresh.join(small(least), ["fp", "wh"]).filter("doc_id > first").select(*KEY, "doc_id", "k"), "lsm-partly")
+    partly = found.join(small(partly), [*KEY, "doc_id"]).select("doc_id", "th", (F.col("pos") + F.col("k")).alias("pos"), F.lit(1).alias("n"))
+    index.append(own)
+    hot = [h for h in index.hot.values()]
+    spans = cut(_spans(whole.union(partly), window), "lsm-spans")
+    release(begun, keep=[spans, *hot])
+    return spans
+
+
+def all_spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, run: int = RUN, index: FingerprintIndex | None = None) -> DataFrame:
+    """doc_id, th and spans of every document that loses words, batch by batch.
+
+    An ``index`` that is given is empty at first and is kept, for :func:`add_batch` with later documents.
     """
-    prints = cut(fingerprints(batch, window, run), "lsm-prints")
-    met = cut(index.met(prints), "lsm-met")
-    sources = [prints, *index.tables()]
-    wanted = reduce(DataFrame.union, [s.select("fp", "doc_id").join(met, "fp", "left_semi") for s in sources])
-    wanted = cut(wanted.distinct(), "lsm-wanted")
-    windows = cut(_windows(known, wanted, window, run), "lsm-windows")
-    first = windows.groupBy("d0", "d1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d0", "d1", "first")
-    hits = windows.join(first, ["d0", "d1"]).filter(F.col("doc_id") > F.col("first"))
-    fresh = prints.select("doc_id").distinct()
-    found = cut(_spans(hits.select("doc_id", "th", "pos"), window).join(fresh, "doc_id", "left_semi"), "lsm-spans")
-    index.append(prints)
-    return found
-
-
-def all_spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, th and spans of every document that loses words, batch by batch."""
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    edges = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
-    index, found, low = FingerprintIndex(spark), [], None
+    edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    held, found, low = index or FingerprintIndex(spark), [], None
     for high in [*sorted({int(e) for e in edges or []}), None]:
         upto = slim if high is None else slim.filter(F.col("doc_id") <= high)
         batch = upto if low is None else upto.filter(F.col("doc_id") > low)
-        found.append(add_batch(index, batch, upto, window, run))
+        found.append(add_batch(held, batch, upto, low, window, run))
         low = high
-    index.drop()
+    if index is None:
+        held.drop()
     return reduce(DataFrame.union, found)
 
 
-def _with_spans(docs: DataFrame, batches: int) -> DataFrame:
-    spans = cut(all_spans(docs, batches), "lsm-all").withColumnsRenamed({"doc_id": "s__id", "th": "s__th", "spans": "s__spans"})
-    spans = small(spans)
-    return docs.withColumn("s__hash", F.xxhash64("text")).join(spans, (F.col("doc_id") == F.col("s__id")) & (F.col("s__hash") == F.col("s__th")), "left").drop("s__id", "s__th", "s__hash")
+def _with_spans(docs: DataFrame, batches: int) -> tuple[DataFrame, str]:
+    """The documents with their spans, and the name of that column."""
+    begun = mark()
+    spans = finish(all_spans(docs, batches), "lsm-all", begun)
+    i, h, out = (unused(docs, name) for name in ("s__id", "s__th", "s__spans"))
+    spans = small(spans).withColumnsRenamed({"doc_id": i, "th": h, "spans": out})
+    return docs.join(spans, (docs["doc_id"] == spans[i]) & (F.xxhash64(docs["text"]) == spans[h]), "left").drop(i, h), out
 
 
 def _keep(words: list[str], spans: list[int] | None) -> tuple[list[str], int]:
@@ -224,9 +266,9 @@ def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in sliced(rows, "text", 4 * CHUNK_BYTES):
             n_words, n_removed, sha = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("s__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(held).to_pylist(), strict=True):
                 words = _WORD.findall(text or "")
                 kept, lost = _keep(words, spans)
                 n_words.append(len(words))
@@ -234,8 +276,8 @@ def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 sha.append(hashlib.sha256(" ".join(kept).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    wide = _with_spans(docs.select("doc_id", "text"), batches)
-    return wide.select("doc_id", "text", "s__spans").mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    wide, held = _with_spans(docs.select("doc_id", "text"), batches)
+    return wide.select("doc_id", "text", held).mapInArrow(of, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def filter_documents(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
@@ -246,13 +288,13 @@ def filter_documents(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """
     names = docs.columns
     schema = docs.schema
-    wide = _with_spans(docs, batches)
+    wide, held = _with_spans(docs, batches)
     place = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None
 
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            spans = batch.column("s__spans").to_pylist()
+        for batch in sliced(rows, "text", 4 * CHUNK_BYTES):
+            spans = batch.column(len(names)).to_pylist()
             columns = [batch.column(i) for i in range(len(names))]
             hit = [i for i, s in enumerate(spans) if s]
             if hit:
@@ -270,7 +312,7 @@ def filter_documents(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
                 columns = [c.filter(pa.array(keep)) for c in columns]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return wide.select(*(F.col(f"`{c}`") for c in names), "s__spans").mapInArrow(of, schema)
+    return wide.select(*(F.col(f"`{c}`") for c in names), held).mapInArrow(of, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

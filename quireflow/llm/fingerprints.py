@@ -56,7 +56,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A stretch: its fingerprint and digest, a document that holds it, its first window there and how many it has.
 KEY = ["fp", "d0", "d1"]
 PLACE = ["doc_id", "th", "pos", "n"]
-_KINDS = "fp long, d0 long, d1 long, doc_id long, th long, pos int, n int"
+_KINDS = "fp long, d0 long, d1 long, doc_id long, th long, pos int, n int, again boolean"
 
 
 def windows_of(raws: list[bytes], window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +73,7 @@ def windows_of(raws: list[bytes], window: int = WINDOW, run: int = RUN) -> tuple
 
 
 def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """KEY and PLACE of the stretches of the documents (doc_id, text, th) with an id."""
+    """KEY and PLACE of the stretches of the documents (doc_id, text, th) with an id; again: its text has had it before."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK_BYTES):
@@ -86,8 +86,12 @@ def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFram
                 digest = b"".join([hashlib.md5(raw[8 * a : 8 * b]).digest() for a, b in zip(new.tolist(), end.tolist(), strict=False)]) if len(new) else b""
                 d = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 ids, th = (np.array([r[k] for r in part], np.int64)[doc[new]] for k in (0, 1))
-                columns = [fp[new], d[:, 0].copy(), d[:, 1].copy(), ids, th, pos[new].astype(np.int32), (end[: len(new)] - new).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*KEY, *PLACE])
+                order = np.lexsort((np.arange(len(new)), d[:, 1], d[:, 0], doc[new]))
+                same = [x[order][1:] == x[order][:-1] for x in (doc[new], d[:, 0], d[:, 1])]
+                again = np.zeros(len(new), bool)
+                again[order[1:]] = same[0] & same[1] & same[2]
+                columns = [fp[new], d[:, 0].copy(), d[:, 1].copy(), ids, th, pos[new].astype(np.int32), (end[: len(new)] - new).astype(np.int32), again]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*KEY, *PLACE, "again"])
 
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "th", "text").mapInArrow(of, _KINDS)
 
@@ -113,7 +117,9 @@ class FingerprintIndex:
         name = f"quireflow_run_{uuid.uuid4().hex}"
         folder = f"{self.path}/{name}"
         many = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_ROWS)
-        self.hot[name] = cut(many.select("fp", F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("salts")), "lsm-hot")
+        # a row that matches nothing keeps the plan the same where no fingerprint is frequent
+        none = self.spark.range(1).select(F.lit(None).cast("long").alias("fp"), F.lit(1).alias("salts"))
+        self.hot[name] = cut(many.select("fp", F.ceil(F.col("c") / HOT_ROWS).cast("int").alias("salts")).union(none), "lsm-hot")
         salted = rows.select(*KEY, *PLACE).join(small(self.hot[name]), "fp", "left").withColumn("salt", F.coalesce(F.pmod("d0", "salts"), F.lit(0)).cast("int")).drop("salts")
         dealt = salted.repartition(self.buckets, "fp", "salt").sortWithinPartitions("fp", "salt")
         dealt.write.format("parquet").bucketBy(self.buckets, "fp", "salt").sortBy("fp", "salt").option("path", folder).saveAsTable(name)
@@ -154,22 +160,21 @@ class FingerprintIndex:
 
 
 def _windows(docs: DataFrame, places: DataFrame, window: int, run: int) -> DataFrame:
-    """KEY, doc_id, number in the stretch (k) and hash (wh) of each window of the stretches at ``places``."""
-    per_doc = places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "n", *KEY)).alias("asked"))
-    ids = small(cut(places.select("doc_id").distinct(), "lsm-ids"))
-    asked = docs.join(ids, "doc_id", "left_semi").join(per_doc, ["doc_id", "th"]).select("doc_id", "text", "asked")
+    """fp, hash (wh), doc_id, th and number (pos) of each window of the stretches at ``places`` (PLACE)."""
+    per_doc = cut(places.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n")), "lsm-places")
+    asked = docs.join(small(per_doc), ["doc_id", "th"]).select("doc_id", "th", "text", "at", "n")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK_BYTES):
-            for i, text, asked in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("asked"), strict=True):
-                _, _, _, hashes = windows_of([text.encode()], window, run)
-                pos, n, *key = (asked.values.field(c).to_numpy() for c in ("pos", "n", *KEY))
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.repeat(c, n)) for c in key), pa.array(np.full(len(k), i, np.int64)), pa.array(k.astype(np.int32)), pa.array(hashes[np.repeat(pos, n) + k])], [*KEY, "doc_id", "k", "wh"]
-                )
+            columns = [batch.column(c) for c in ("doc_id", "th", "text", "at", "n")]
+            for i, h, text, at, n in zip(*columns, strict=True):
+                _, _, fp, hashes = windows_of([text.as_py().encode()], window, run)
+                at, n = at.values.to_numpy(), n.values.to_numpy()
+                pos = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                same = np.full(len(pos), i.as_py(), np.int64), np.full(len(pos), h.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (fp[pos], hashes[pos], *same, pos.astype(np.int32))], ["fp", "wh", "doc_id", "th", "pos"])
 
-    return asked.mapInArrow(of, "fp long, d0 long, d1 long, doc_id long, k int, wh long")
+    return asked.mapInArrow(of, "fp long, wh long, doc_id long, th long, pos int")
 
 
 def _spans(hits: DataFrame, window: int) -> DataFrame:
@@ -191,12 +196,13 @@ def _spans(hits: DataFrame, window: int) -> DataFrame:
     return lists.mapInArrow(of, "doc_id long, th long, spans array<int>")
 
 
-def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, since: int | None = None, window: int = WINDOW, run: int = RUN) -> DataFrame:
+def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, since: int | None = None, apart: DataFrame | None = None, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, th and spans to remove from the batch's documents; the batch becomes a run.
 
     ``known`` holds the documents indexed so far and the batch itself.  Both have
     doc_id, text and ``th`` (a hash of the text); the batch's doc_ids are above
-    ``since``, those of the index are not.
+    ``since``, those of the index are not.  ``apart`` names the documents that have
+    several texts, if any has.
     """
     begun = mark()
     found = cut(stretches(batch, window, run), "lsm-stretches")
@@ -205,21 +211,26 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, since
     met = reduce(DataFrame.unionByName, (m.withColumn("last", F.col("doc_id")) for m in index.met(prints)), own)
     met = cut(met, "lsm-met")
     # fingerprints of several documents; several: their stretches differ
-    shared = met.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("last").alias("z"), F.min(F.struct("d0", "d1")).alias("b"), F.max(F.struct("d0", "d1")).alias("y"))
+    shared = met.groupBy("fp").agg(F.min("doc_id").alias("a"), F.max("last").alias("z"), F.min("d0").alias("b"), F.max("d0").alias("y"))
     shared = cut(shared.filter("a < z").select("fp", (F.col("b") != F.col("y")).alias("several")), "lsm-shared")
-    every = cut(_least(met.join(small(shared), "fp"), F.first("several").alias("several")), "lsm-every")
-    first = every.select(*KEY, F.col("doc_id").alias("first"))
+    every = cut(_least(met.join(small(shared), "fp"), F.max("last").alias("last"), F.first("several").alias("several")), "lsm-every")
+    first = cut(every.filter("doc_id < last").select(*KEY, F.col("doc_id").alias("first")), "lsm-first")
     whole = found.join(small(first), KEY).filter("doc_id > first").select("doc_id", "th", "pos", "n")
-    # windows of stretches that may agree in part
-    windows = cut(_windows(known, every.filter("several"), window, run), "lsm-windows")
-    least = cut(windows.groupBy("fp", "wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("fp", "wh", "first"), "lsm-least")
+    # windows of stretches that may agree in part, at every place of a document that holds one several times
+    twice = found.filter("again")
+    if apart is not None:
+        twice = twice.union(found.join(small(apart), "doc_id", "left_semi"))
+    twice = cut(twice.select(*KEY, *PLACE).distinct(), "lsm-twice")
+    differ = every.filter("several")
+    places = differ.select(*PLACE).union(differ.select(*KEY, "doc_id").join(small(twice), [*KEY, "doc_id"]).select(*PLACE)).distinct()
+    windows = cut(_windows(known, places, window, run), "lsm-windows")
+    least = windows.groupBy("fp", "wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    least = cut((least if since is None else least.filter(F.col("last") > since)).select("fp", "wh", "first"), "lsm-least")
     fresh = windows if since is None else windows.filter(F.col("doc_id") > since)
-    partly = cut(fresh.join(small(least), ["fp", "wh"]).filter("doc_id > first").select(*KEY, "doc_id", "k"), "lsm-partly")
-    partly = found.join(small(partly), [*KEY, "doc_id"]).select("doc_id", "th", (F.col("pos") + F.col("k")).alias("pos"), F.lit(1).alias("n"))
+    partly = fresh.join(small(least), ["fp", "wh"]).filter("doc_id > first").select("doc_id", "th", "pos", F.lit(1).alias("n"))
     index.append(own)
-    hot = [h for h in index.hot.values()]
     spans = cut(_spans(whole.union(partly), window), "lsm-spans")
-    release(begun, keep=[spans, *hot])
+    release(begun, keep=[spans, *index.hot.values()])
     return spans
 
 
@@ -232,10 +243,12 @@ def all_spans(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW, run
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     edges = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
     held, found, low = index or FingerprintIndex(spark), [], None
+    ids = slim.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("th").alias("a"), F.max("th").alias("z"))
+    apart = cut(ids.filter("a < z").select("doc_id"), "lsm-apart")
     for high in [*sorted({int(e) for e in edges or []}), None]:
         upto = slim if high is None else slim.filter(F.col("doc_id") <= high)
         batch = upto if low is None else upto.filter(F.col("doc_id") > low)
-        found.append(add_batch(held, batch, upto, low, window, run))
+        found.append(add_batch(held, batch, upto, low, apart, window, run))
         low = high
     if index is None:
         held.drop()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quireflow.functions import geometry as g
+
 
 def boolean(x: Column, threshold: float) -> Column:
     return F.when(x >= threshold, 1.0).otherwise(0.0)
@@ -67,7 +69,12 @@ def white_fill(color: Column, least: float) -> Column:
 
 def colors_match(a: Column, b: Column, tolerance: float = 0.1) -> Column:
     near = F.forall(F.zip_with(a, b, lambda p, q: F.abs(p - q) <= tolerance), lambda t: F.coalesce(t, F.lit(False)))
-    return (F.size(a) == F.size(b)) & near
+    return F.coalesce((F.size(a) == F.size(b)) & near, F.lit(False))
+
+
+def ramp(x: Column, low: float, high: float, least: float = 0.0, most: float = 1.0) -> Column:
+    """Linear from ``least`` at ``low`` to ``most`` at ``high``, constant beyond."""
+    return F.when(x <= low, float(least)).when(x >= high, float(most)).otherwise(F.lit(float(least)) + (x - low) / (high - low) * (most - least))
 
 
 def weighted(rules: Sequence[tuple[Column, float, bool]]) -> tuple[Column, Column]:
@@ -85,20 +92,6 @@ def weighted(rules: Sequence[tuple[Column, float, bool]]) -> tuple[Column, Colum
     return F.when(weight > 0, total / weight).otherwise(0.0), passed
 
 
-def corner_distance(x: Column, y: Column, page_w: float, page_h: float, scale: float) -> Column:
-    """Decays with the distance to the nearer bottom corner."""
-    d = lambda cx: F.sqrt((x - cx) * (x - cx) + (y - page_h) * (y - page_h))
-    return F.exp(-F.least(d(0.0), d(page_w)) / scale)
-
-
-def edge_proximity(margins: Sequence[Column], scale: float) -> Column:
-    """Mean decay of the distances to the four page edges."""
-    total = F.lit(0.0)
-    for m in margins:
-        total = total + F.exp(-F.greatest(m, F.lit(0.0)) / scale)
-    return total / len(margins)
-
-
 #: Share of part numbers by their length.
 PART_NUMBER_LENGTHS = {4: 0.0002, 5: 0.005, 6: 0.0498, 7: 0.9447, 8: 0.0003}
 
@@ -108,3 +101,27 @@ def part_number_length(text: Column) -> Column:
     for n, p in PART_NUMBER_LENGTHS.items():
         share = F.when(F.char_length(text) == n, p).otherwise(share)
     return 0.5 + 0.5 * share
+
+
+def beside_top_left(a: g.Box, b: g.Box, tolerance: float) -> Column:
+    """How well the centre of ``a`` stands left of and above that of ``b``.
+
+    Each axis is 1 on the right side, falls to half at the tolerance and to 0 at twice
+    of it; their geometric mean gets up to 0.2 more near the upper left corner of ``b``.
+    """
+    (px, py), (qx, qy) = g.center(a), g.center(b)
+
+    def axis(off: Column) -> Column:
+        near, far = F.lit(1.0) - off / tolerance * 0.5, F.lit(0.5) - (off - tolerance) / tolerance * 0.5
+        return F.when(off <= 0, 1.0).when(off <= tolerance, near).otherwise(F.greatest(F.lit(0.0), far))
+
+    away = F.sqrt((px - b.x0) * (px - b.x0) + (py - b.y0) * (py - b.y0))
+    bonus = F.when(away <= tolerance, F.lit(0.2) * (F.lit(1.0) - away / tolerance)).otherwise(0.0)
+    return F.least(F.lit(1.0), F.sqrt(axis(px - qx) * axis(py - qy)) + bonus)
+
+
+def nearness(a: g.Box, b: g.Box, most: float) -> Column:
+    """Falls from 1 to 0 with the distance from the centre of ``a`` to the nearest point of ``b``."""
+    x, y = g.center(a)
+    dx, dy = x - F.least(F.greatest(x, b.x0), b.x1), y - F.least(F.greatest(y, b.y0), b.y1)
+    return F.greatest(F.lit(0.0), F.lit(1.0) - F.sqrt(dx * dx + dy * dy) / most)

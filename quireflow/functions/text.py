@@ -70,3 +70,30 @@ def expand_ranges(ranges: Column, last: int) -> Column:
 def next_data(html: Column) -> Column:
     """The JSON text of a page's state script, null for none."""
     return F.nullif(F.regexp_extract(html, r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>', 1), F.lit(""))
+
+
+def page_range(text: Column) -> Column:
+    """A range such as ``5``, ``5-10``, ``10-`` or ``-5`` as (start, end, error); an open end is null, and so is a wrong range."""
+    plain = strip(text)
+    span = plain.contains("-")
+    a = F.when(span, strip(F.substring_index(plain, "-", 1))).otherwise(plain)
+    z = F.when(span, strip(F.regexp_replace(plain, r"(?s)^[^-]*-", ""))).otherwise(plain)
+    number = lambda c: F.when(c.rlike(r"^\+?[0-9]+$"), c.try_cast("int"))
+    start, end = number(a), number(z)
+    wrong = lambda c, n: (c != "") & (n.isNull() | (n < 1))
+    error = (
+        F.when(plain == "", "empty").when((a == "") & (z == ""), "no page number").when(wrong(a, start), "invalid start").when(wrong(z, end), "invalid end").when(start > end, "start beyond end")
+    )
+    kept = lambda c: F.when(error.isNull(), c)
+    return F.struct(kept(start).alias("start"), kept(end).alias("end"), error.alias("error"))
+
+
+def page_list(text: Column) -> Column:
+    """The ranges of a list such as ``1-3, 7, 10-`` (``all``: everything), for :func:`expand_ranges`; an error if one is wrong."""
+    parts = F.filter(F.transform(F.split(text, ","), strip), lambda p: p != "")
+    found = F.transform(parts, page_range)
+    every = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
+    bad = F.exists(found, lambda r: r["error"].isNotNull()) | (F.size(parts) == 0)
+    ranges = F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("invalid page ranges: "), text)).cast("array<struct<start:int,end:int>>")).otherwise(ranges)
+    return F.when(strip(text) == "all", every).otherwise(checked)

@@ -7,7 +7,7 @@ they are hash or sort-merge joins whose work stays within a page.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -63,44 +63,46 @@ def depths(parents: DataFrame, page: str) -> DataFrame:
     return by_page(parents.select(page, "id", "parent_id"), page, lambda pdf: fold(pdf).astype({"parent_id": "Int32"}), schema)
 
 
-def _bucketed(df: DataFrame, page: str, name: str = "__bucket") -> DataFrame:
-    """Pages dealt to buckets: one pandas call for many small pages, more buckets on larger clusters."""
-    n = 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.withColumn(name, F.pmod(F.xxhash64(page), F.lit(n)))
-
-
 def by_page(df: DataFrame, page: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies an ordered fold to each page."""
+    """Applies an ordered fold to each page: rows are dealt and sorted by page and read page by page."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [fold(rows) for _, rows in pdf.drop(columns="__bucket").groupby(page, sort=False)]
-        some = [p for p in parts if len(p)]
-        return pd.concat(some, ignore_index=True) if some else parts[0]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for where, rows in batch.groupby(page, sort=True):
+                if held and held[0][page].iloc[0] != where:
+                    yield fold(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(rows)
+        if held:
+            yield fold(pd.concat(held, ignore_index=True))
 
-    return _bucketed(df, page).groupBy("__bucket").applyInPandas(run, schema)
+    return df.repartition(page).sortWithinPartitions(page).mapInPandas(run, schema)
 
 
 def page_components(nodes: DataFrame, edges: DataFrame, page: str) -> DataFrame:
-    """(page, id, cluster): the least id of each box's component within its page."""
+    """(page, id, cluster): the least id of each box's component within its page.
+
+    Only boxes with an edge leave the JVM; every other one is its own component.
+    """
 
-    def join(ids: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        order = sorted(zip(ids["n_page"].tolist(), ids["id"].tolist(), strict=True))
-        root = {i: i for i in order}
+    def join(links: pd.DataFrame) -> pd.DataFrame:
+        root: dict[int, int] = {}
 
-        def find(i: tuple) -> tuple:
-            while root[i] != i:
+        def find(i: int) -> int:
+            while root.setdefault(i, i) != i:
                 root[i] = root[root[i]]
                 i = root[i]
             return i
 
-        for where, a, b in zip(links["e_page"].tolist(), links["a_id"].tolist(), links["b_id"].tolist(), strict=True):
-            x, y = find((where, a)), find((where, b))
+        for a, b in zip(links["a_id"].tolist(), links["b_id"].tolist(), strict=True):
+            x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-        return pd.DataFrame({page: [i[0] for i in order], "id": [i[1] for i in order], "cluster": [find(i)[1] for i in order]})
+        ids = list(root)
+        return pd.DataFrame({page: links[page].iloc[0], "id": ids, "cluster": [find(i) for i in ids]})
 
-    left = _bucketed(nodes.select(F.col(page).alias("n_page"), "id"), "n_page", "n_bucket")
-    right = _bucketed(edges.select(F.col(page).alias("e_page"), "a_id", "b_id"), "e_page", "e_bucket")
-    return left.groupBy("n_bucket").cogroup(right.groupBy("e_bucket")).applyInPandas(join, f"{page} long, id int, cluster int")
+    linked = by_page(edges.select(page, "a_id", "b_id"), page, join, f"{page} long, id int, cluster int")
+    return nodes.select(page, "id").join(linked, [page, "id"], "left").select(page, "id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def clusters(boxes: DataFrame, page: str, tolerance: float = 1e-6) -> DataFrame:
@@ -195,10 +197,10 @@ def greedy_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def match(priced: DataFrame, page: str, assign: Assign) -> DataFrame:
-    """Matches a_id to b_id page by page; ``priced`` has the cost of every allowed pair."""
+    """Matches a_id to b_id page by page; ``priced`` has the cost of every pair, null where it is forbidden."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="a_id", columns="b_id", values="cost").fillna(np.inf)
+        table = pdf.pivot(index="a_id", columns="b_id", values="cost").astype(float).fillna(np.inf)
         out = [(pdf[page].iloc[0], table.index[i], table.columns[j], table.iat[i, j]) for i, j in assign(table.to_numpy(float))]
         return pd.DataFrame(out, columns=[page, "a_id", "b_id", "cost"])
 

@@ -25,4 +25,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from quireflow.plans import layout, reports  # noqa: E402, F401  they register their queries
+from quireflow.plans import classify, layout, reports  # noqa: E402, F401  they register their queries

@@ -107,16 +107,17 @@ def seq_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_previous(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").filter("value - before > 1").select("user_id", "event_id", (F.col("value") - F.col("before")).alias("jump"))
 
 
-@query("increment_cv", f"SELECT user_id, count(*) AS n, round(stddev_samp(value - before) / avg(value - before), 5) AS cv FROM ({_EVENTS}) WHERE value - before >= 0 GROUP BY user_id HAVING count(*) > 5 AND avg(value - before) > 0")
+@query(
+    "increment_cv",
+    f"SELECT user_id, bars, n, cv, cv > 1 AS uneven FROM (SELECT user_id, count(*) AS bars, count(*) FILTER (value - before >= 0) AS n, round(CASE WHEN avg(value - before) FILTER (value - before >= 0) > 0 THEN stddev_samp(value - before) FILTER (value - before >= 0) / avg(value - before) FILTER (value - before >= 0) ELSE 0 END, 5) AS cv FROM ({_EVENTS}) GROUP BY user_id) WHERE bars > 5 AND n > 2",
+)
 def increment_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = with_previous(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").withColumn("d", F.col("value") - F.col("before")).filter("d >= 0")
-    found = steps.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("d").alias("sd"), F.avg("d").alias("m")).filter("n > 5 AND m > 0")
-    return found.select("user_id", "n", F.round(F.col("sd") / F.col("m"), 5).alias("cv"))
-
-
-@query("largest_gap_filter", "WITH t AS (SELECT DISTINCT l_orderkey AS page, l_partkey AS n FROM lineitem), g AS (SELECT *, n - lag(n) OVER (PARTITION BY page ORDER BY n) AS gap FROM t), b AS (SELECT page, n AS cut FROM g WHERE gap > 3 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap DESC, n) = 1) SELECT t.page, t.n FROM t LEFT JOIN b USING (page) WHERE cut IS NULL OR t.n >= cut")
-def largest_gap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return largest_gap(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("n")).distinct(), "page", "n", 3)
+    """Whether a sequence of more than five values rises unevenly: the spread of its more than two rises exceeds their mean."""
+    steps = with_previous(read(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").withColumn("d", F.col("value") - F.col("before"))
+    rise = F.when(F.col("d") >= 0, F.col("d"))
+    found = steps.groupBy("user_id").agg(F.count(F.lit(1)).alias("bars"), F.count(rise).alias("n"), F.stddev_samp(rise).alias("sd"), F.avg(rise).alias("m")).filter("bars > 5 AND n > 2")
+    cv = F.round(F.when(F.col("m") > 0, F.col("sd") / F.col("m")).otherwise(0.0), 5)
+    return found.select("user_id", "bars", "n", cv.alias("cv"), (cv > 1).alias("uneven"))
 
 
 @query("subassembly_filter", "WITH t AS (SELECT l_orderkey AS page, l_linenumber AS line, l_quantity::INT AS n FROM lineitem), g AS (SELECT *, n - lag(n) OVER (PARTITION BY page ORDER BY n) AS gap, min(n) OVER (PARTITION BY page) AS start FROM t), b AS (SELECT page, n AS cut FROM g WHERE gap > 3 AND start <= 3 QUALIFY row_number() OVER (PARTITION BY page ORDER BY gap DESC, n) = 1) SELECT t.page, t.line, t.n FROM t LEFT JOIN b USING (page) WHERE cut IS NULL OR t.n >= cut")
@@ -222,3 +223,54 @@ def best_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))).filter("r <= 10").drop("r")
 
 
+
+_ISSUE_EVENTS = "e AS (SELECT user_id AS doc, event_id AS seq, ts, CAST(floor(value) AS INT) % 40 AS number, event_type FROM events)"
+_FIRST = f"WITH {_ISSUE_EVENTS}, f AS (SELECT doc, min(number) FILTER (event_type <> 'error') AS least, arg_min(number, (ts, seq)) FILTER (event_type <> 'error') AS first_seen, count(*) AS total, count(*) FILTER (event_type = 'error') AS missing FROM e GROUP BY doc)"
+
+
+@query(
+    "sequence_issues",
+    f"""{_FIRST} SELECT doc, 'no_page_numbers' AS rule, 'error' AS severity, NULL::INT AS number FROM f WHERE first_seen IS NULL
+ UNION ALL SELECT doc, 'high_first_page', 'warning', first_seen FROM f WHERE first_seen > 10
+ UNION ALL SELECT doc, 'step_start', 'info', least FROM f WHERE least <> 1
+ UNION ALL SELECT doc, 'missing_page_numbers', CASE WHEN (total - missing) / total * 100 < 50 THEN 'error' WHEN (total - missing) / total * 100 < 90 THEN 'warning' ELSE 'info' END, missing::INT FROM f WHERE missing > 0""",
+)
+def sequence_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of numbered documents: none found, a high first number, a start other than 1, numbers missing by tier."""
+    seen = F.when(F.col("event_type") != "error", F.floor("value").cast("int") % 40)
+    order = F.when(seen.isNotNull(), F.struct("ts", "event_id"))
+    found = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc")).agg(F.min(seen).alias("least"), F.min_by(seen, order).alias("first"), F.count(F.lit(1)).alias("total"), F.count_if(seen.isNull()).alias("missing"))
+    share = (F.col("total") - F.col("missing")) / F.col("total") * 100
+    tier = F.when(share < 50, "error").when(share < 90, "warning").otherwise("info")
+    issue = lambda when, rule, severity, number: F.when(when, F.struct(F.lit(rule).alias("rule"), severity.alias("severity"), number.cast("int").alias("number")))
+    first, least, missing = F.col("first"), F.col("least"), F.col("missing")
+    issues = F.array_compact(
+        F.array(
+            issue(first.isNull(), "no_page_numbers", F.lit("error"), F.lit(None)),
+            issue(first > 10, "high_first_page", F.lit("warning"), first),
+            issue(least != 1, "step_start", F.lit("info"), least),
+            issue(missing > 0, "missing_page_numbers", tier, missing),
+        )
+    )
+    return found.select("doc", F.explode(issues).alias("i")).select("doc", "i.rule", "i.severity", "i.number")
+
+
+@query("severity_counts", f"WITH i AS ({_FIRST} SELECT 'error' AS severity FROM f WHERE first_seen IS NULL UNION ALL SELECT 'warning' FROM f WHERE first_seen > 10 UNION ALL SELECT 'info' FROM f WHERE least <> 1 UNION ALL SELECT CASE WHEN (total - missing) / total * 100 < 50 THEN 'error' WHEN (total - missing) / total * 100 < 90 THEN 'warning' ELSE 'info' END FROM f WHERE missing > 0) SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos FROM i")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("severity")
+    return sequence_issues(spark, sf_dir).agg(F.count_if(kind == "error").alias("errors"), F.count_if(kind == "warning").alias("warnings"), F.count_if(kind == "info").alias("infos"))
+
+
+_RANGE = "CASE l_linenumber % 8 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS STRING) WHEN 1 THEN ' 5 - ' || CAST(CAST(l_quantity AS INT) AS STRING) WHEN 2 THEN '10-' WHEN 3 THEN '-5' WHEN 4 THEN '-' WHEN 5 THEN 'x-3' WHEN 6 THEN '0' ELSE '' END"
+
+
+@query(
+    "page_ranges",
+    rf"""WITH t AS (SELECT l_orderkey AS page, l_linenumber AS line, l_partkey AS part, trim({_RANGE}) AS r FROM lineitem), u AS (SELECT *, contains(r, '-') AS span, trim(split_part(r, '-', 1)) AS a, trim(r[strpos(r, '-') + 1:]) AS z FROM t),
+ v AS (SELECT page, line, part, span, r, a, z, try_cast(CASE WHEN span THEN a ELSE r END AS INT) AS s, try_cast(CASE WHEN span THEN z ELSE r END AS INT) AS e FROM u)
+SELECT page, line, part, CASE WHEN ok THEN s END AS first_page, CASE WHEN ok THEN e END AS last_page, ok FROM (SELECT *, CASE WHEN r = '' THEN false WHEN NOT span THEN coalesce(s >= 1, false) WHEN a = '' AND z = '' THEN false WHEN a = '' THEN coalesce(e >= 1, false) WHEN z = '' THEN coalesce(s >= 1, false) ELSE coalesce(s >= 1 AND e >= 1 AND s <= e, false) END AS ok FROM v)""",
+)
+def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS page", "l_linenumber AS line", "l_partkey AS part", f"{_RANGE} AS r")
+    found = tx.page_range(F.col("r"))
+    return lines.select("page", "line", "part", found["start"].alias("first_page"), found["end"].alias("last_page"), found["error"].isNull().alias("ok"))

@@ -1,0 +1 @@
+"""Incremental reading of metadata and page files as they land."""

@@ -11,7 +11,8 @@ turns, nothing (0, 0) elsewhere.
 Defined results: system turns are context, never a perspective; a null role is
 the speaker ``unknown``; a null text is empty; turns with equal numbers are
 ordered by speaker, then by rendered text; repeated rows are rendered each; a conversation of system turns alone has no perspective and no rows; null
-conversation ids form one conversation.  Marks inside a text are broken up.
+conversation ids form one conversation.  Marks inside a text or a speaker's name are
+broken up, and line breaks in a name become spaces.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ NOBODY = "unknown"
 
 
 def _head(speaker: Column, perspective: Column, system: Column) -> Column:
-    named = F.concat(F.lit(f"{BEGIN}user name="), speaker, F.lit("\n"))
+    # a speaker's name opens no turn: marks are broken up, and it stays on its line
+    name = F.translate(F.replace(speaker, F.lit("<|"), F.lit("< |")), "\r\n", "  ")
+    named = F.concat(F.lit(f"{BEGIN}user name="), name, F.lit("\n"))
     return F.when(system, f"{BEGIN}system\n").when(speaker == perspective, f"{BEGIN}assistant\n").otherwise(named)
 
 
@@ -82,7 +85,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '{NOBODY}') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
-heads AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN '{BEGIN}system' WHEN speaker = perspective THEN '{BEGIN}assistant' ELSE '{BEGIN}user name=' || speaker END || chr(10) AS head,
+heads AS (SELECT s.*, perspective, CASE WHEN speaker = 'system' THEN '{BEGIN}system' WHEN speaker = perspective THEN '{BEGIN}assistant' ELSE '{BEGIN}user name=' || replace(replace(replace(speaker, '<|', '< |'), chr(13), ' '), chr(10), ' ') END || chr(10) AS head,
   speaker = perspective AS own FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id)
 SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = 'system' THEN 'system' WHEN own THEN 'assistant' ELSE 'user' END AS chat_role,
 head || content || '{END}' || chr(10) AS rendered, CASE WHEN own THEN length(head) ELSE 0 END::BIGINT AS mask_start,

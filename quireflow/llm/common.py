@@ -130,6 +130,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, needed: str) -> DataFrame:
+    """``df`` with all but the needed columns under numbered names, so that none meets a helper; ``toDF`` gives the names back."""
+    return df.toDF(*(c if c in needed.split() else f"x{i}" for i, c in enumerate(df.columns)))
+
+
 def words_column(text: Column) -> Column:
     """The words of a text as an array (null text: no words)."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

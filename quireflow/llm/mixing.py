@@ -17,7 +17,7 @@ Defined results: null or empty texts have no tokens; null levels are nodes of
 their own; rows that repeat a doc_id stand together in the order and share the
 cut; an empty table gives an empty result; weight 0 excludes a node; names
 missing from the weights have weight 1; extra columns are passed through by
-:func:`mix_documents`.
+:func:`mix_documents`, and under any name by :func:`filter_documents`.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import WORD, cut, small, table, words_column
+from quireflow.llm.common import WORD, aside, cut, small, table, words_column
 
 SEED = "mix-1"
 MAX_EPOCHS = 2
@@ -177,13 +177,13 @@ def shortened(text: Column, tokens: Column, take: Column) -> Column:
 
 def filter_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture with the input's columns; a cut text has its first words."""
-    names = docs.columns
+    given, docs = docs.columns, aside(docs, "doc_id text lang source n_chars")
     out = mix_documents(docs, **options)
     text = shortened(F.col("text"), F.col("m__tokens"), F.col("m__take"))
     out = out.withColumn("text", text)
-    if "n_chars" in names:
+    if "n_chars" in given:
         out = out.withColumn("n_chars", F.when(F.col("m__take") < F.col("m__tokens"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in names))
+    return out.select(*docs.columns).toDF(*given)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 Every document gets four counts and a base verdict.  Failures are aggregated by
 host (``source``), each host's failure rate is shrunk towards the corpus rate by
-a beta prior whose two parameters are fitted to the spread of the host rates,
-and hosts whose shrunk rate exceeds ``max_rate`` lose all their documents.
+a beta prior whose two parameters are fitted to the spread of the host rates
+beyond what drawing each host's documents explains, and hosts whose shrunk rate exceeds ``max_rate`` lose all their documents.
 
 Defined results: a null or empty text has no words and fails; a null host is a
 host of its own; repeated rows each count; an empty table gives an empty result;
-extra columns are ignored (or passed through by :func:`filter_documents`).
+extra columns, whatever their names, are ignored (or passed through by
+:func:`filter_documents`).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import SPACE, cut, small, table, words_column
+from quireflow.llm.common import SPACE, aside, cut, small, table, words_column
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -76,14 +77,18 @@ def measures(docs: DataFrame, *keep: str) -> DataFrame:
 def rejected_hosts(flags: DataFrame, host: str, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """Hosts whose shrunk failure rate exceeds ``max_rate`` (column ``q__host``).
 
-    ``flags`` has the host and ``base_failed``.  The prior is one row of two
-    sums over hosts, the only thing that reaches the driver.
+    ``flags`` has the host and ``base_failed``.  The prior is one row of sums
+    over hosts, the only thing that reaches the driver.  Its weight ``s`` solves the
+    beta-binomial variance of the rates, ``m (1 - m) (a + (1 - a) / (s + 1))``, where
+    ``a`` is the mean of 1 / n; where nothing is left to explain it is the largest.
     """
     hosts = cut(flags.groupBy(F.col(host).alias("q__host")).agg(F.count(F.lit(1)).alias("n"), F.count_if("base_failed").alias("f")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("f").alias("f")).first()
     mean = (total["f"] or 0) / (total["n"] or 1)
-    spread = hosts.agg(F.avg(F.pow(F.col("f") / F.col("n") - F.lit(mean), F.lit(2.0)))).first()[0] or 0.0
-    weight = min(max(mean * (1 - mean) / spread - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if spread > 0 else PRIOR_WEIGHT[1]
+    found = hosts.agg(F.avg(F.pow(F.col("f") / F.col("n") - F.lit(mean), F.lit(2.0))).alias("v"), F.avg(F.lit(1.0) / F.col("n")).alias("a")).first()
+    drawn = mean * (1 - mean)
+    beyond = (found["v"] or 0.0) - drawn * (found["a"] or 0.0)
+    weight = min(max(drawn * (1 - found["a"]) / beyond - 1, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1]) if beyond > 0 else PRIOR_WEIGHT[1]
     shrunk = (F.col("f") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
     return hosts.filter(shrunk > max_rate).select("q__host")
 
@@ -99,7 +104,7 @@ def judge(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
 
 def filter_documents(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that pass, with all their columns."""
-    names = docs.columns
+    given, docs = docs.columns, aside(docs, "text source")
 
     def flagged(df: DataFrame) -> DataFrame:
         wide = with_repeats(df.withColumn("q__w", words_column(F.col("text"))), "q__w", "q__r")
@@ -109,8 +114,8 @@ def filter_documents(docs: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFr
     bad = small(rejected_hosts(flags, "source", max_rate))
     # a numbered row keeps Spark from moving the filter, and with it the arrays' definitions, into the loops that read them
     numbered = flagged(docs).withColumn("q__row", F.monotonically_increasing_id())
-    passed = numbered.filter(~F.col("base_failed_q") & (F.col("q__row") >= 0)).select(*(F.col(f"`{c}`") for c in names))
-    return passed.join(bad, passed["source"].eqNullSafe(bad["q__host"]), "left_anti")
+    passed = numbered.filter(~F.col("base_failed_q") & (F.col("q__row") >= 0)).select(*docs.columns)
+    return passed.join(bad, passed["source"].eqNullSafe(bad["q__host"]), "left_anti").toDF(*given)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +138,8 @@ q_measures AS (SELECT r.*, len(w)::BIGINT AS n_words, length(array_to_string(w,
 q_base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM q_measures),
 q_hosts AS (SELECT source AS host, count(*) AS n, count(*) FILTER (base_failed) AS f FROM q_base GROUP BY 1),
 q_mean AS (SELECT sum(f) / sum(n) AS m FROM q_hosts),
-q_spread AS (SELECT m, avg(pow(f / n - m, 2)) AS v FROM q_hosts, q_mean GROUP BY m),
-q_prior AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, {_LEAST}), {_MOST}) ELSE {_MOST} END AS s FROM q_spread),
+q_spread AS (SELECT m, avg(pow(f / n - m, 2)) AS v, avg(1.0::DOUBLE / n) AS a FROM q_hosts, q_mean GROUP BY m),
+q_prior AS (SELECT m, CASE WHEN v - m * (1 - m) * a > 0 THEN least(greatest(m * (1 - m) * (1 - a) / (v - m * (1 - m) * a) - 1, {_LEAST}), {_MOST}) ELSE {_MOST} END AS s FROM q_spread),
 q_bad AS (SELECT host FROM q_hosts, q_prior WHERE (f + m * s) / (n + s) > {MAX_HOST_RATE}),
 q_judged AS (SELECT b.*, NOT base_failed AND NOT EXISTS (SELECT 1 FROM q_bad WHERE host IS NOT DISTINCT FROM b.source) AS kept FROM q_base b)
 """

@@ -7,6 +7,7 @@ they are hash or sort-merge joins whose work stays within a page.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,40 +45,62 @@ def smallest_container(boxes: DataFrame, page: str) -> DataFrame:
 
 
 def depths(parents: DataFrame, page: str) -> DataFrame:
-    """Adds the depth of every box below its root; pages are small, so by page."""
+    """Adds the depth of every box below its root, page by page."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(pdf["id"], pdf["parent_id"], strict=True))
-        known: dict[int, int] = {}
-        for box in pdf["id"]:
-            chain = []
-            while box is not None and not pd.isna(box) and box not in known:
-                chain.append(box)
-                box = up.get(box)
-            base = known.get(box, -1)
-            for n, b in enumerate(reversed(chain), 1):
-                known[b] = base + n
-        return pdf.assign(depth=[known[b] for b in pdf["id"]])
+        at = {k: i for i, k in enumerate(zip(pdf[page].tolist(), pdf["id"].tolist(), strict=True))}
+        up = np.array([at.get(k, -1) for k in zip(pdf[page].tolist(), pdf["parent_id"].tolist(), strict=True)], np.int64)
+        depth = (up >= 0).astype(np.int64)
+        while (up >= 0).any():  # each turn doubles the steps that are known
+            depth, up = depth + np.where(up >= 0, depth[up], 0), np.where(up >= 0, up[up], -1)
+        return pdf.assign(depth=depth)
 
     schema = f"{page} long, id int, parent_id int, depth long"
     return by_page(parents.select(page, "id", "parent_id"), page, lambda pdf: fold(pdf).astype({"parent_id": "Int32"}), schema)
 
 
 def by_page(df: DataFrame, page: str, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies an ordered fold to each page: rows are dealt and sorted by page and read page by page."""
+    """Applies an ordered fold to whole pages.
+
+    Rows are dealt and sorted by page; each call of ``fold`` gets all pages that end in
+    a batch of rows, one after the other, numbered from 0 in the column of the page, and
+    returns rows with these numbers.  Rows without a page are one page.
+    """
+    none = f"{page}__none"
+
+    def turns(pdf: pd.DataFrame) -> np.ndarray:
+        where, missing = pdf[page].to_numpy(), pdf[none].to_numpy(bool)
+        return np.flatnonzero((where[1:] != where[:-1]) | (missing[1:] != missing[:-1])) + 1
+
+    def whole(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        first = np.concatenate([[0], turns(pdf)])
+        where, missing = pdf[page].to_numpy()[first], pdf[none].to_numpy(bool)[first]
+        number = np.zeros(len(pdf), np.int64)
+        number[first[1:]] = 1
+        out = fold(pdf.drop(columns=none).assign(**{page: np.cumsum(number)}))
+        at = out[page].to_numpy(np.int64)
+        return out.assign(**{page: pd.arrays.IntegerArray(where[at], missing[at])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # the parts of the last page
         for batch in batches:
-            for where, rows in batch.groupby(page, sort=True):
-                if held and held[0][page].iloc[0] != where:
-                    yield fold(pd.concat(held, ignore_index=True))
-                    held = []
-                held.append(rows)
+            if not len(batch):
+                continue
+            cut = int(max(turns(batch), default=0))
+            if cut:
+                yield whole([*held, batch.iloc[:cut]])
+                held = []
+            elif held and any(held[-1][c].iloc[-1] != batch[c].iloc[0] for c in (page, none)):
+                yield whole(held)
+                held = []
+            held.append(batch.iloc[cut:])
         if held:
-            yield fold(pd.concat(held, ignore_index=True))
+            yield whole(held)
 
-    return df.repartition(page).sortWithinPartitions(page).mapInPandas(run, schema)
+    # a null among the pages would make a batch's pages floats
+    known = df.withColumns({none: F.col(page).isNull(), page: F.coalesce(F.col(page).cast("long"), F.lit(0).cast("long"))})
+    return known.repartition(page).sortWithinPartitions(page, none).mapInPandas(run, schema)
 
 
 def page_components(nodes: DataFrame, edges: DataFrame, page: str) -> DataFrame:
@@ -87,19 +110,26 @@ def page_components(nodes: DataFrame, edges: DataFrame, page: str) -> DataFrame:
     """
 
     def join(links: pd.DataFrame) -> pd.DataFrame:
-        root: dict[int, int] = {}
+        ends = np.stack([np.tile(links[page].to_numpy(np.int64), 2), np.concatenate([links["a_id"], links["b_id"]]).astype(np.int64)])
+        order = np.lexsort((ends[1], ends[0]))
+        ends = ends[:, order]
+        new = np.concatenate([[True], (ends[:, 1:] != ends[:, :-1]).any(axis=0)])
+        # boxes numbered by page and id, so that the least number of a component is its least id
+        box = np.empty(len(order), np.int64)
+        box[order] = np.cumsum(new) - 1
+        ends = ends[:, new]
+        root = list(range(ends.shape[1]))
 
         def find(i: int) -> int:
-            while root.setdefault(i, i) != i:
+            while root[i] != i:
                 root[i] = root[root[i]]
                 i = root[i]
             return i
 
-        for a, b in zip(links["a_id"].tolist(), links["b_id"].tolist(), strict=True):
+        for a, b in zip(box[: len(links)].tolist(), box[len(links) :].tolist(), strict=True):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
-        ids = list(root)
-        return pd.DataFrame({page: links[page].iloc[0], "id": ids, "cluster": [find(i) for i in ids]})
+        return pd.DataFrame({page: ends[0], "id": ends[1], "cluster": ends[1][[find(i) for i in root]]})
 
     linked = by_page(edges.select(page, "a_id", "b_id"), page, join, f"{page} long, id int, cluster int")
     return nodes.select(page, "id").join(linked, [page, "id"], "left").select(page, "id", F.coalesce("cluster", "id").alias("cluster"))
@@ -136,19 +166,57 @@ def similar_groups(boxes: DataFrame, page: str, tolerance: float = 2.0) -> DataF
     """Greedy groups: a box joins the first group whose first member is similar (not transitive)."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        heads, out = [], []
-        pdf = pdf.sort_values("id")
-        for x in pdf[list(COORDS)].to_numpy():
-            near = [i for i, h in enumerate(heads) if (np.abs(h - x) <= tolerance).all()]
-            if not near:
-                heads.append(x)
-            out.append(near[0] if near else len(heads) - 1)
-        return pd.DataFrame({page: pdf[page], "id": pdf["id"], "grp": out})
+        pdf = pdf.iloc[np.lexsort((pdf["id"], pdf[page]))]
+        number, x = pdf[page].to_numpy(), pdf[list(COORDS)].to_numpy(float)
+        out, left, turn = np.zeros(len(pdf), np.int64), np.arange(len(pdf)), 0
+        while len(left):  # on every page the first box left heads a group, and what is similar joins it
+            first = np.flatnonzero(np.concatenate([[True], number[left[1:]] != number[left[:-1]]]))
+            head = np.repeat(left[first], np.diff(np.concatenate([first, [len(left)]])))
+            near = (np.abs(x[head] - x[left]) <= tolerance).all(axis=1)
+            near[first] = True
+            out[left[near]] = turn
+            left, turn = left[~near], turn + 1
+        return pd.DataFrame({page: number, "id": pdf["id"].to_numpy(), "grp": out})
 
     return by_page(boxes.select(page, "id", *COORDS), page, fold, f"{page} long, id int, grp long")
 
 
 Assign = Callable[[np.ndarray], list[tuple[int, int]]]
+#: Costs up to which Python numbers are faster than arrays; changes no result.
+FEW_COSTS = 100
+
+
+def _few_assigned(cost: list[list[float]]) -> list[tuple[int, int]]:
+    """:func:`optimal_assignment` of a small table of no more rows than columns, step by step the same."""
+    n, m = len(cost), len(cost[0])
+    row_price, column_price, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        slack, back, seen, free = [math.inf] * (m + 1), [0] * (m + 1), [], list(range(1, m + 1))
+        while owner[at]:
+            seen.append(at)
+            if at:
+                free.remove(at)
+            row = cost[owner[at] - 1]
+            price, least, nxt = row_price[owner[at]], math.inf, 0
+            for j in free:
+                reduced = row[j - 1] - price - column_price[j]
+                if reduced < slack[j]:
+                    slack[j], back[j] = reduced, at
+                if slack[j] < least:
+                    least, nxt = slack[j], j
+            if not math.isfinite(least):
+                return []
+            for j in seen:
+                row_price[owner[j]] += least
+                column_price[j] -= least
+            for j in free:
+                slack[j] -= least
+            at = nxt
+        while at:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    return sorted((owner[j] - 1, j - 1) for j in range(1, m + 1) if owner[j])
 
 
 def optimal_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -157,6 +225,8 @@ def optimal_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
         return []
     if cost.shape[0] > cost.shape[1]:
         return sorted((i, j) for j, i in optimal_assignment(cost.T))
+    if cost.size <= FEW_COSTS:
+        return _few_assigned(cost.tolist())
     n, m = cost.shape
     row_price, column_price, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
@@ -199,10 +269,35 @@ def greedy_assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 def match(priced: DataFrame, page: str, assign: Assign) -> DataFrame:
     """Matches a_id to b_id page by page; ``priced`` has the cost of every pair, null where it is forbidden."""
 
+    def number(pdf: pd.DataFrame, side: str) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the place of its id among its page's, and how many of them each page has."""
+        where, ids = pdf[page].to_numpy(), pdf[side].to_numpy()
+        order = np.lexsort((ids, where))
+        new = np.concatenate([[True], (where[order][1:] != where[order][:-1]) | (ids[order][1:] != ids[order][:-1])])
+        count = np.bincount(where[order][new])
+        place = np.empty(len(pdf), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return place - (np.cumsum(count) - count)[where], count
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot(index="a_id", columns="b_id", values="cost").astype(float).fillna(np.inf)
-        out = [(pdf[page].iloc[0], table.index[i], table.columns[j], table.iat[i, j]) for i, j in assign(table.to_numpy(float))]
-        return pd.DataFrame(out, columns=[page, "a_id", "b_id", "cost"])
+        pdf = pdf.iloc[np.lexsort((pdf["b_id"], pdf["a_id"], pdf[page]))]
+        where, cost = pdf[page].to_numpy(), pdf["cost"].fillna(np.inf).to_numpy(float)
+        (i, height), (j, width) = number(pdf, "a_id"), number(pdf, "b_id")
+        # the tables of all pages end to end: the row of each pair, or -1
+        size = height * width
+        begin = np.cumsum(size) - size
+        row = np.full(size.sum(), -1, np.int64)
+        cell = begin[where] + i * width[where] + j
+        row[cell] = np.arange(len(pdf))
+        if (row[cell] != np.arange(len(pdf))).any():
+            raise ValueError("a pair has several costs")
+        flat = np.full(len(row), np.inf)
+        flat[cell] = cost
+        found = []
+        for at, n, m in zip(begin.tolist(), height.tolist(), width.tolist(), strict=True):
+            found += [at + x * m + y for x, y in assign(flat[at : at + n * m].reshape(n, m))]
+        found = row[np.array(found, np.int64)]
+        return pd.DataFrame({page: where[found], "a_id": pdf["a_id"].to_numpy()[found], "b_id": pdf["b_id"].to_numpy()[found], "cost": cost[found]})
 
     return by_page(priced.select(page, "a_id", "b_id", "cost"), page, solve, f"{page} long, a_id int, b_id int, cost double")
 
@@ -214,23 +309,36 @@ def clip_stack(rows: DataFrame, page: str) -> DataFrame:
     row of level <= L; inverted clips are ignored.
     """
 
+    def limited(low: float, high: float, clips: list[tuple], k: int) -> tuple[float, float]:
+        for clip in clips:
+            low, high = max(low, clip[k]), min(high, clip[k + 2])
+            if low > high:
+                low = high = (low + high) / 2
+        return low, high
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack, out = [], []
-        for x in pdf.sort_values("seq").itertuples():
-            while stack and stack[-1][0] >= x.level:
+        pdf = pdf.iloc[np.lexsort((pdf["seq"], pdf[page]))]
+        drawn = (pdf["kind"] != "clip").to_numpy()
+        # open clips: coordinates, level, and what all of them up to there share
+        stack, out, here = [], [], None
+        for number, draw, level, x0, y0, x1, y1 in zip(pdf[page].tolist(), drawn.tolist(), *(pdf[c].tolist() for c in ("level", *COORDS)), strict=True):
+            if number != here:
+                stack, here = [], number
+            while stack and stack[-1][4] >= level:
                 stack.pop()
-            b = [x.x0, x.y0, x.x1, x.y1]
-            if x.kind == "clip":
-                if x.x0 <= x.x1 and x.y0 <= x.y1:
-                    stack.append((x.level, b))
+            if not draw:
+                if x0 <= x1 and y0 <= y1:
+                    c0, d0, c1, d1 = stack[-1][5] if stack else (x0, y0, x1, y1)
+                    stack.append((x0, y0, x1, y1, level, (max(c0, x0), max(d0, y0), min(c1, x1), min(d1, y1))))
                 continue
-            for _, c in stack:
-                lo, hi = [max(b[0], c[0]), max(b[1], c[1])], [min(b[2], c[2]), min(b[3], c[3])]
-                for k in range(2):
-                    if lo[k] > hi[k]:
-                        lo[k] = hi[k] = (lo[k] + hi[k]) / 2
-                b = [*lo, *hi]
-            out.append((getattr(x, page), x.seq, *b))
-        return pd.DataFrame(out, columns=[page, "seq", *COORDS])
+            if stack:
+                c0, d0, c1, d1 = stack[-1][5]
+                a0, b0, a1, b1 = max(x0, c0), max(y0, d0), min(x1, c1), min(y1, d1)
+                # clip by clip only where nothing is left
+                x0, x1 = limited(x0, x1, stack, 0) if a0 > a1 else (a0, a1)
+                y0, y1 = limited(y0, y1, stack, 1) if b0 > b1 else (b0, b1)
+            out.append((x0, y0, x1, y1))
+        found = np.array(out, float).reshape(-1, 4)
+        return pd.DataFrame({page: pdf[page].to_numpy()[drawn], "seq": pdf["seq"].to_numpy()[drawn], **{c: found[:, k] for k, c in enumerate(COORDS)}})
 
     return by_page(rows, page, fold, f"{page} long, seq long, x0 double, y0 double, x1 double, y1 double")

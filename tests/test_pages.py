@@ -1,5 +1,6 @@
 """Folds over pages: how they are called, and their results against plain loops over one page."""
 
+import math
 import random
 from collections import defaultdict
 
@@ -70,3 +71,27 @@ def test_similar_groups_by_loops(spark):
             want.append((p, r[1], near[0] if near else len(heads) - 1))
     got = sp.similar_groups(spark.createDataFrame(rows, BOXES), "page", 5.0).collect()
     assert by_key(map(tuple, got), 0, 1) == by_key(want, 0, 1)
+
+
+def test_clip_stack_by_loops(spark):
+    r = random.Random(2)
+    rows = [(p, i, "clip" if r.random() < 0.5 else "draw", r.randint(1, 5), *b) for p, i, *b in boxes(2, most=30)]
+    want = []
+    for p, found in pages_of(rows).items():
+        stack = []
+        for _, seq, kind, level, *b in found:
+            b = [math.nan if v is None else v for v in b]
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            if kind == "clip":
+                if b[0] <= b[2] and b[1] <= b[3]:
+                    stack.append((level, b))
+                continue
+            for _, c in stack:
+                for k in range(2):
+                    b[k], b[k + 2] = max(b[k], c[k]), min(b[k + 2], c[k + 2])
+                    if b[k] > b[k + 2]:
+                        b[k] = b[k + 2] = (b[k] + b[k + 2]) / 2
+            want.append((p, seq, *(None if math.isnan(v) else v for v in b)))
+    df = spark.createDataFrame(rows, BOXES.replace("x0", "kind string, level int, x0", 1)).withColumn("id", sp.F.col("id").cast("long")).withColumnRenamed("id", "seq")
+    assert by_key(map(tuple, sp.clip_stack(df, "page").collect()), 0, 1) == by_key(want, 0, 1)

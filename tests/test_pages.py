@@ -4,6 +4,7 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -95,3 +96,35 @@ def test_clip_stack_by_loops(spark):
             want.append((p, seq, *(None if math.isnan(v) else v for v in b)))
     df = spark.createDataFrame(rows, BOXES.replace("x0", "kind string, level int, x0", 1)).withColumn("id", sp.F.col("id").cast("long")).withColumnRenamed("id", "seq")
     assert by_key(map(tuple, sp.clip_stack(df, "page").collect()), 0, 1) == by_key(want, 0, 1)
+
+
+def tables(seed):
+    """Tables of costs by page with many ties, some pairs forbidden and some left out."""
+    r = random.Random(seed)
+    for p in range(150):
+        n, m = r.randint(1, 6), r.randint(1, 6)
+        ids = [sorted(r.sample(range(50), k)) for k in (n, m)]
+        yield p, {(a, b): None if r.random() < 0.1 else r.choice([-0.5, -0.25, -0.125, -0.1, 0.0, 0.3]) for a in ids[0] for b in ids[1] if p % 3 or r.random() < 0.9}
+
+
+@pytest.mark.parametrize("assign", [sp.optimal_assignment, sp.greedy_assignment])
+def test_matches_by_page(spark, assign):
+    rows, want = [], []
+    for p, costs in tables(3):
+        rows += [(p, a, b, c) for (a, b), c in costs.items()]
+        left, right = (sorted({k[side] for k in costs}) for side in (0, 1))
+        if not costs:
+            continue
+        table = np.array([[math.inf if costs.get((a, b)) is None else costs[a, b] for b in right] for a in left])
+        want += [(p, left[i], right[j], table[i, j]) for i, j in assign(table)]
+    random.Random(4).shuffle(rows)
+    got = sp.match(spark.createDataFrame(rows, "page long, a_id int, b_id int, cost double"), "page", assign)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_few_costs_are_assigned_as_by_arrays(monkeypatch):
+    r = random.Random(5)
+    costs = [np.array([[r.choice([math.inf, *map(float, range(5)), 0.1, 0.2]) for _ in range(m)] for _ in range(n)]) for n in range(1, 7) for m in range(1, 7) for _ in range(40)]
+    few = [sp.optimal_assignment(c) for c in costs]
+    monkeypatch.setattr(sp, "FEW_COSTS", 0)
+    assert few == [sp.optimal_assignment(c) for c in costs]

@@ -43,7 +43,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quireflow.llm.common import cut, finish, mark, sliced, small, table, unused
@@ -271,8 +271,9 @@ def _rare_slots(many: DataFrame, bags: DataFrame) -> DataFrame:
     """
     at_least, of = THRESHOLD
     every = bags.select("key", F.explode("bag").alias("slot"))
-    held = every.groupBy("slot").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    shared = every.join(held, "slot").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("holders", "slot"))).alias("shared"))
+    # counted where they meet: a shingle has a row for each of its texts and is dealt once
+    held = every.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("slot"))).filter("holders > 1")
+    shared = held.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("holders", "slot"))).alias("shared"))
     n = F.size("bag")
     prefix = n - F.ceil(n * at_least / of).cast("int") + 1 - (n - F.size("shared"))
     some = bags.join(shared, "key").withColumn("prefix", prefix).filter("prefix > 0")

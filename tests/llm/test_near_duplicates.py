@@ -109,6 +109,19 @@ def test_rare_shingles_let_every_similar_pair_meet(spark):
     assert len(similar) > 10 and similar <= met and len(met) < len(texts) * (len(texts) - 1) // 2
 
 
+def test_shingles_are_counted_without_a_join(spark):
+    """A common shingle's rows were joined with its count, a row for each text that holds it."""
+    shared = " ".join(f"w{i}" for i in range(40))
+    rows = spark.createDataFrame([(i, f"{shared} own{i} end{i}" if i else "quite another text it is") for i in range(60)], "doc_id long, text string")
+    many = rows.selectExpr("doc_id AS id", "unhex(md5(text)) AS key")
+    found = neardup._rare_slots(many, neardup._bags(rows, many))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "slot#" in line]
+    # 38 shingles, of which two are each text's own and not slots: of the first 38 - ceil(4 * 38 / 5) + 1 = 8, six are left
+    slots = found.collect()
+    assert len(slots) == 59 * 6 and len({r.slot for r in slots}) == 6 and 0 not in {r.id for r in slots}
+
+
 def test_split_processes_agree_across_weights():
     """The points below the smaller weight are those of the larger one."""
     import numpy as np

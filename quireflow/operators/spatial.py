@@ -8,7 +8,7 @@ they are hash or sort-merge joins whose work stays within a page.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -302,12 +302,40 @@ def match(priced: DataFrame, page: str, assign: Assign) -> DataFrame:
     return by_page(priced.select(page, "a_id", "b_id", "cost"), page, solve, f"{page} long, a_id int, b_id int, cost double")
 
 
-def clip_stack(rows: DataFrame, page: str) -> DataFrame:
+def _clipped_by_level(rows: DataFrame, page: str, levels: list[int]) -> DataFrame:
+    """:func:`clip_stack` of clips at these levels only, with the same results."""
+    known = lambda c: F.nanvl(c, F.lit(None).cast("double"))  # noqa: E731  as the fold returns them
+    level, is_clip = F.col("level"), F.col("kind").eqNullSafe("clip")
+    holds = is_clip & F.coalesce((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")), F.lit(False))
+    other = holds & ~F.coalesce(level.isin(levels), F.lit(False))
+    drawn = F.when(other, F.raise_error("a clip is at none of the given levels").cast("boolean")).otherwise(~is_clip)
+    boxes = rows.select(F.col(page).cast("long").alias(page), F.col("seq").cast("long").alias("seq"), "kind", "level", *(known(F.col(c).cast("double")).alias(c) for c in COORDS))
+    # a level's open clip is the last row at it or above, if that is a clip at just this level
+    before = Window.partitionBy(page).orderBy(F.asc_nulls_last("seq")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clip = lambda at: F.struct(*(F.when(holds & (level == at), F.col(c)).alias(c) for c in COORDS))
+    opened = {f"__clip{i}": F.last(F.when(level <= at, clip(at)), ignorenulls=True).over(before) for i, at in enumerate(levels)}
+    left = boxes.withColumn("__drawn", drawn).withColumns(opened).filter("__drawn")
+    for c in opened:  # from the outermost clip inwards
+        limits = {k: F.col(c)[k] for k in COORDS}
+        low = {k: F.when(limits[k] > F.col(k), limits[k]).otherwise(F.col(k)) for k in COORDS[:2]}
+        high = {k: F.when(limits[k] < F.col(k), limits[k]).otherwise(F.col(k)) for k in COORDS[2:]}
+        left = left.withColumns(low | high)
+        none = {k: limits[k].isNotNull() & (F.col(a) > F.col(b)) for a, b in zip(COORDS[:2], COORDS[2:], strict=True) for k in (a, b)}
+        middle = {k: known((F.col(a) + F.col(b)) / 2) for a, b in zip(COORDS[:2], COORDS[2:], strict=True) for k in (a, b)}
+        left = left.withColumns({k: F.when(none[k], middle[k]).otherwise(F.col(k)) for k in COORDS})
+    return left.select(page, "seq", *COORDS)
+
+
+def clip_stack(rows: DataFrame, page: str, levels: Iterable[int] | None = None) -> DataFrame:
     """The visible box of each row below its open clips (ordered by ``seq``).
 
     A row of kind ``clip`` at level L limits later rows of deeper levels until a
-    row of level <= L; inverted clips are ignored.
+    row of level <= L; inverted clips are ignored.  With ``levels``, all that clips
+    are at, a window for each finds its open clips, and no row leaves the JVM; a
+    clip at another level is an error.
     """
+    if levels is not None:
+        return _clipped_by_level(rows, page, sorted(set(levels)))
 
     def limited(low: float, high: float, clips: list[tuple], k: int) -> tuple[float, float]:
         for clip in clips:

@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 
 from quireflow.operators import spatial as sp
+from quireflow.plans.registry import QUERIES
+from quireflow.sources.tables import line_boxes
 
 
 def by_key(rows, *keys):
@@ -98,6 +100,41 @@ def test_clip_stack_by_loops(spark):
     assert by_key(map(tuple, sp.clip_stack(df, "page").collect()), 0, 1) == by_key(want, 0, 1)
 
 
+def clip_rows(spark):
+    r = random.Random(6)
+    value = lambda v: r.choice([math.nan, math.inf, -math.inf, None, v]) if r.random() < 0.04 else v
+    rows = [(p, i, r.choice(["clip", "clip", "draw", "draw", None]), r.choice([None, *range(6)]), *map(value, b)) for p, i, *b in boxes(7, pages=300, most=40)]
+    # a clip without a level is at none of the given ones
+    rows = [(p, i, "draw" if level is None else kind, level, *b) for p, i, kind, level, *b in rows]
+    return spark.createDataFrame(rows, BOXES.replace("id int, x0", "seq long, kind string, level int, x0"))
+
+
+@pytest.mark.parametrize("top", [0, 1, 3, 5])
+def test_clips_at_known_levels_are_cut_as_by_the_fold(spark, top):
+    df = clip_rows(spark).filter(f"kind is distinct from 'clip' or level <= {top}")
+    want = sp.clip_stack(df, "page")
+    got = sp.clip_stack(df, "page", levels=range(top + 1))
+    assert got.dtypes == want.dtypes
+    assert by_key(map(tuple, got.collect()), 0, 1) == by_key(map(tuple, want.collect()), 0, 1)
+
+
+def test_a_clip_at_another_level_is_an_error(spark):
+    df = spark.createDataFrame([(0, 1, "clip", 2, 0.0, 0.0, 1.0, 1.0), (0, 2, "draw", 3, 0.0, 0.0, 2.0, 2.0)], BOXES.replace("id int, x0", "seq long, kind string, level int, x0"))
+    assert [tuple(r) for r in sp.clip_stack(df, "page", levels=[2]).collect()] == [(0, 2, 0.0, 0.0, 1.0, 1.0)]
+    for levels in ([], [1, 3]):
+        with pytest.raises(Exception, match="none of the given levels"):
+            sp.clip_stack(df, "page", levels=levels).collect()
+
+
+def test_clip_stack_query_stays_in_the_jvm(spark):
+    """The fold in Python took most of the time of large tables."""
+    found = QUERIES["clip_stack"](spark, "/root/testdata/sf0.001")
+    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame(line_boxes(spark, "/root/testdata/sf0.001").collect())
+    kinds = rows.selectExpr("page", "id AS seq", "CASE WHEN id % 3 = 1 THEN 'clip' ELSE 'draw' END AS kind", "CASE WHEN id % 3 = 1 THEN 1 ELSE 2 END AS level", *sp.COORDS)
+    assert by_key(map(tuple, found.collect()), 0, 1) == by_key(map(tuple, sp.clip_stack(kinds, "page").collect()), 0, 1)
+
+
 def tables(seed):
     """Tables of costs by page with many ties, some pairs forbidden and some left out."""
     r = random.Random(seed)

@@ -10,14 +10,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each order and a box for each of its lines."""
+def line_boxes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """A page for each order and a box for each of its lines.
+
+    ``dealt``: numbered before they are named, so that Spark knows the boxes to be
+    dealt by page and does not shuffle them again for what works on pages.
+    """
     lines = read(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    if dealt:
+        lines, number = lines.withColumn("id", number), F.col("id")
     x0, y0 = F.col("l_quantity"), F.col("l_discount") * 100
     return lines.select(
         F.col("l_orderkey").alias("page"),
-        F.row_number().over(order).alias("id"),
+        number.alias("id"),
         x0.alias("x0"),
         y0.alias("y0"),
         (x0 + 5 + F.col("l_linenumber")).alias("x1"),

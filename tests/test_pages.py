@@ -129,7 +129,8 @@ def test_a_clip_at_another_level_is_an_error(spark):
 def test_clip_stack_query_stays_in_the_jvm(spark):
     """The fold in Python took most of the time of large tables."""
     found = QUERIES["clip_stack"](spark, "/root/testdata/sf0.001")
-    assert "MapInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("Exchange hashpartitioning") == 1
     rows = spark.createDataFrame(line_boxes(spark, "/root/testdata/sf0.001").collect())
     kinds = rows.selectExpr("page", "id AS seq", "CASE WHEN id % 3 = 1 THEN 'clip' ELSE 'draw' END AS kind", "CASE WHEN id % 3 = 1 THEN 1 ELSE 2 END AS level", *sp.COORDS)
     assert by_key(map(tuple, found.collect()), 0, 1) == by_key(map(tuple, sp.clip_stack(kinds, "page").collect()), 0, 1)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quireflow.llm import fingerprints, mixing, neardup, pieces, quality
-from quireflow.llm.common import cut, table
+from quireflow.llm.common import cut, cut_lean, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +29,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.digests(docs)
+    # the digests are small beside the texts: stored here, they are made in small batches whoever reads them
+    return cut_lean(pieces.digests(docs), "pipeline-digests")
 
 
 STAGES = [

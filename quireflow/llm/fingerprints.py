@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import cut, drop_path, finish, mark, release, shared_dir, shuffle_width, sliced, small, table, unused
+from quireflow.llm.common import cut, cut_lean, drop_path, finish, lean, mark, release, shared_dir, shuffle_width, sliced, small, table, unused
 from quireflow.llm.hashing import chunks, mix, runs, sliding_min, word_hashes
 
 WINDOW = 50
@@ -51,7 +51,8 @@ BATCHES = 4
 MAX_RUNS = 2
 #: Rows of one fingerprint that go to one bucket of a run.
 HOT_ROWS = 2000
-CHUNK_BYTES = 1 << 20
+#: Bytes of the texts whose words are arrays at once; changes no result.
+CHUNK_BYTES = 1 << 18
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: A stretch: its fingerprint and digest, a document that holds it, its first window there and how many it has.
 KEY = ["fp", "d0", "d1"]
@@ -75,6 +76,7 @@ def windows_of(raws: list[bytes], window: int = WINDOW, run: int = RUN) -> tuple
 def stretches(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """KEY and PLACE of the stretches of the documents (doc_id, text, th) with an id; again: its text has had it before."""
 
+    @lean
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK_BYTES):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text").to_pylist(), strict=True)
@@ -164,6 +166,7 @@ def _windows(docs: DataFrame, places: DataFrame, window: int, run: int) -> DataF
     per_doc = cut(places.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("at"), F.collect_list("n").alias("n")), "lsm-places")
     asked = docs.join(small(per_doc), ["doc_id", "th"]).select("doc_id", "th", "text", "at", "n")
 
+    @lean
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK_BYTES):
             columns = [batch.column(c) for c in ("doc_id", "th", "text", "at", "n")]
@@ -181,6 +184,7 @@ def _spans(hits: DataFrame, window: int) -> DataFrame:
     """doc_id, th and the covered word ranges [start, end, start, end, ...]."""
     lists = hits.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("pos"), F.collect_list("n").alias("n"))
 
+    @lean
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -205,7 +209,7 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, since
     several texts, if any has.
     """
     begun = mark()
-    found = cut(stretches(batch, window, run), "lsm-stretches")
+    found = cut_lean(stretches(batch, window, run), "lsm-stretches")
     own = cut(_least(found, F.max("doc_id").alias("last")), "lsm-own")
     prints = own.select("fp").distinct()
     met = reduce(DataFrame.unionByName, (m.withColumn("last", F.col("doc_id")) for m in index.met(prints)), own)
@@ -223,13 +227,13 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame, since
     twice = cut(twice.select(*KEY, *PLACE).distinct(), "lsm-twice")
     differ = every.filter("several")
     places = differ.select(*PLACE).union(differ.select(*KEY, "doc_id").join(small(twice), [*KEY, "doc_id"]).select(*PLACE)).distinct()
-    windows = cut(_windows(known, places, window, run), "lsm-windows")
+    windows = cut_lean(_windows(known, places, window, run), "lsm-windows")
     least = windows.groupBy("fp", "wh").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     least = cut((least if since is None else least.filter(F.col("last") > since)).select("fp", "wh", "first"), "lsm-least")
     fresh = windows if since is None else windows.filter(F.col("doc_id") > since)
     partly = fresh.join(small(least), ["fp", "wh"]).filter("doc_id > first").select("doc_id", "th", "pos", F.lit(1).alias("n"))
     index.append(own)
-    spans = cut(_spans(whole.union(partly), window), "lsm-spans")
+    spans = cut_lean(_spans(whole.union(partly), window), "lsm-spans")
     release(begun, keep=[spans, *index.hot.values()])
     return spans
 
@@ -278,6 +282,7 @@ def _keep(words: list[str], spans: list[int] | None) -> tuple[list[str], int]:
 def digests(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
 
+    @lean
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(rows, "text", 4 * CHUNK_BYTES):
             n_words, n_removed, sha = [], [], []
@@ -305,6 +310,7 @@ def filter_documents(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     place = names.index("text")
     chars = names.index("n_chars") if "n_chars" in names else None
 
+    @lean
     def of(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(rows, "text", 4 * CHUNK_BYTES):
             spans = batch.column(len(names)).to_pylist()

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quireflow.llm.common import cut, finish, mark, sliced, small, table, unused
+from quireflow.llm.common import cut, cut_lean, finish, lean, mark, sliced, small, table, unused
 from quireflow.llm.hashing import U, chunks, gold, mix, runs, word_hashes
 
 SHINGLE = 5
@@ -58,7 +58,8 @@ STAR_ROUNDS = 2
 SMALL_BUCKET = 48
 #: Members, and bytes of shingles, of a block of a large bucket; change no result.
 BLOCK, BLOCK_BYTES = 512, 2 << 20
-CHUNK_BYTES = 1 << 20
+#: Bytes of the texts whose words are arrays at once; changes no result.
+CHUNK_BYTES = 1 << 19
 _GOLD = gold(1)
 
 
@@ -151,6 +152,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     A text without words is alone, so its digest is that of its doc_id (no text has the byte 0xFF).
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK_BYTES):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
@@ -194,6 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         _, value, weight = shingles([(text or "").encode()])
         return value, weight
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = None, None
         for batch in sliced(batches, "ta tb", 4 * CHUNK_BYTES):
@@ -249,6 +252,7 @@ def _bags(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """key of each of the texts (id, key) and its shingles as a set of (shingle, copy) hashes."""
     keyed = _texts(docs, texts.select("id").distinct()).withColumn("key", F.unhex(F.md5("text"))).join(small(texts), ["id", "key"], "left_semi")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", CHUNK_BYTES):
             bags = []
@@ -308,7 +312,7 @@ def _block_links(apart: DataFrame, docs: DataFrame, bags: DataFrame | None = Non
     """
     many = apart.filter(F.col("n") > SMALL_BUCKET).select("slot", "id", "key", "label", "n")
     if bags is None:
-        bags = cut(_bags(docs, cut(many.select("id", "key").distinct(), "near-ids")), "near-bags")
+        bags = cut_lean(_bags(docs, cut(many.select("id", "key").distinct(), "near-ids")), "near-bags")
     held = many.join(bags.select("key", F.size("bag").alias("size")), "key")
     wide = held.groupBy("slot").agg(F.greatest(F.ceil(F.max("n") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     many = many.join(wide, "slot").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -370,7 +374,7 @@ def _shared_ids(named: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every document."""
     begun = mark()
-    sketched = cut(sketch(docs), "near-sketch")
+    sketched = cut_lean(sketch(docs), "near-sketch")
     texts = cut(sketched.groupBy("key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "near-texts")
     named = cut(sketched.select("doc_id", "key").join(texts.select("key", "id"), "key").select("doc_id", "id"), "near-named")
     # only buckets of several texts matter: the rest is left behind at once
@@ -381,20 +385,20 @@ def classes(docs: DataFrame) -> DataFrame:
     edges = cut(_shared_ids(named), "near-edges")
     tried = cut(slots.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
     slots = slots.select("slot", "id", "key")
-    edges = edges.union(cut(verified(tried, docs), "near-edges"))
+    edges = edges.union(cut_lean(verified(tried, docs), "near-edges"))
     labels = components(edges)
     for _ in range(STAR_ROUNDS - 1):
         apart = cut(_still_apart(slots, labels), "near-apart")
         pairs = cut(_star_pairs(apart).join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = tried.union(pairs)
-        edges = edges.union(cut(verified(pairs, docs), "near-edges"))
+        edges = edges.union(cut_lean(verified(pairs, docs), "near-edges"))
         labels = components(edges)
     apart = cut(_still_apart(slots, labels), "near-apart")
     many = cut(apart.filter(F.col("n") > SMALL_BUCKET).select("id", "key").distinct(), "near-many")
-    bags = cut(_bags(docs, many), "near-bags")
+    bags = cut_lean(_bags(docs, many), "near-bags")
     rare = cut(_still_apart(_rare_slots(many, bags), labels), "near-rare")
     pairs = cut(_small_pairs(apart).union(_small_pairs(rare)).distinct().join(tried, ["a", "b"], "left_anti"), "near-cross")
-    rest = cut(_block_links(rare, docs, bags).union(verified(pairs, docs)), "near-edges")
+    rest = cut_lean(_block_links(rare, docs, bags).union(verified(pairs, docs)), "near-edges")
     if not rest.isEmpty():
         labels = components(edges.union(rest))
     # all texts of a doc_id have one label

@@ -31,10 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from quireflow.llm.common import sliced, table
+from quireflow.llm.common import lean, sliced, table
 
 MODEL = "piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Distinct chunks that the library is given in one text.
 TOGETHER = 2000
 MARK = "▁"
@@ -191,6 +191,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, the ids as an array, and the text they decode to."""
     path = model_path or default_model()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _table_for(path)
         for part in sliced(batches, "text", BLOCK_BYTES):
@@ -205,6 +206,7 @@ def digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
     path = model_path or default_model()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _table_for(path)
         for part in sliced(batches, "text", BLOCK_BYTES):
